@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .packing import op2_best_fit_packing
 from .quality import op10_quality_rules
+from .tokens import op6_token_counts
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_token_counts": op6_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
