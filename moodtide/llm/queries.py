@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from . import urls
+from .mixing import op9_mixing_sources
 from .packing import op2_best_fit_packing
 from .quality import op10_quality_rules
 from .tokens import op6_token_counts
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_url_filters": urls.op5_url_filters,
     "op6_token_counts": op6_token_counts,
+    "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_filters": urls.ORACLE,
+}
