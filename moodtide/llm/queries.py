@@ -6,10 +6,12 @@ from . import urls
 from .mixing import op9_mixing_sources
 from .packing import op2_best_fit_packing
 from .quality import op10_quality_rules
+from .simhash import op3_simhash_near_dedup
 from .tokens import op6_token_counts
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_url_filters": urls.op5_url_filters,
     "op6_token_counts": op6_token_counts,
     "op9_mixing_sources": op9_mixing_sources,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_url_filters": urls.ORACLE,
 }
