@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import urls
+from .embeddings import op8_embedding_near_dedup
 from .mixing import op9_mixing_sources
 from .packing import op2_best_fit_packing
 from .quality import op10_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_url_filters": urls.op5_url_filters,
     "op6_token_counts": op6_token_counts,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_rules": op10_quality_rules,
 }
