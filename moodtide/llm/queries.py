@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import urls
+from . import lines, urls
 from .embeddings import op8_embedding_near_dedup
 from .mixing import op9_mixing_sources
 from .packing import op2_best_fit_packing
@@ -15,6 +15,7 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_url_filters": urls.op5_url_filters,
     "op6_token_counts": op6_token_counts,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_rules": op10_quality_rules,
@@ -23,4 +24,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_url_filters": urls.ORACLE,
+    "op7_line_dedup": lines.ORACLE,
 }
