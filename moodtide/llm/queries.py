@@ -9,10 +9,12 @@ from .packing import op2_best_fit_packing
 from .quality import op10_quality_rules
 from .simhash import op3_simhash_near_dedup
 from .tokens import op6_token_counts
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filters": urls.op5_url_filters,
     "op6_token_counts": op6_token_counts,
     "op7_line_dedup": lines.op7_line_dedup,
