@@ -8,10 +8,12 @@ from .mixing import op9_mixing_sources
 from .packing import op2_best_fit_packing
 from .quality import op10_quality_rules
 from .simhash import op3_simhash_near_dedup
+from .substrings import op1_substring_dedup
 from .tokens import op6_token_counts
 from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_toxicity": op4_toxicity,

@@ -103,15 +103,25 @@ def links(prints: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> Da
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp (long) and component_id (the smallest doc_id that links lead to), and the columns named by keep."""
+    """doc_id, fp (long), component_id (the smallest doc_id that links lead to; null only if all are) and
+    first_fp (the fingerprint of the row that has it), and the columns named by keep."""
     kept = [F.col(f"`{c}`").alias(f"__keep_{c}") for c in keep]
     printed = materialise(docs.select(F.col(doc_id).alias("__doc"), *kept, fingerprint(F.col(text), shingle).alias("fp")))
     classes = materialise(printed.groupBy("fp").agg(F.min("__doc").alias("least")))
     parts = connected_components(links(classes.select("fp"), distance, group))
     linked = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    least = linked.groupBy("part").agg(F.min("least").alias("component_id"))
-    of = materialise(linked.join(least, "part").select("fp", "component_id"))
-    return printed.join(of, "fp").select(F.col("__doc").alias(doc_id), *(F.col(f"__keep_{c}").alias(c) for c in keep), "fp", "component_id")
+    least = linked.groupBy("part").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("x"))
+    of = materialise(linked.join(least, "part").select("fp", F.col("x.least").alias("component_id"), F.col("x.fp").alias("first_fp")))
+    return printed.join(of, "fp").select(F.col("__doc").alias(doc_id), *(F.col(f"__keep_{c}").alias(c) for c in keep), "fp", "component_id", "first_fp")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with its own columns. Of rows that also
+    share id and fingerprint with it one stays."""
+    others = tuple(c for c in docs.columns if c != doc_id)
+    found = near_duplicates(docs, doc_id, text, keep=others, **how).withColumnRenamed("fp", "__fp")
+    first = found.filter((F.col("__fp") == F.col("first_fp")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("component_id")))
+    return first.dropDuplicates([doc_id, "__fp"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_simhash_near_dedup(spark, sf_dir):
