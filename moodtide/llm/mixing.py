@@ -85,7 +85,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         .groupBy("__source").agg(F.max(F.when(F.col("run") - F.col("n") / 2 <= F.col("missing"), F.col("__hash"))).alias("last"), F.min("__hash").alias("first"))
         .select(F.col("__source").alias("s2"), F.coalesce("last", F.col("first") - 1).alias("last"))
     )
-    plan = goal.join(bound, F.col("__source").eqNullSafe(F.col("s2")), "left").select(F.col("__source").alias("s"), "source_size", "target", "whole", "last")
+    # written out, so that Spark knows its size when it chooses how to join the documents with it
+    plan = materialise(goal.join(bound, F.col("__source").eqNullSafe(F.col("s2")), "left").select(F.col("__source").alias("s"), "source_size", "target", "whole", "last"))
     extra = F.when(F.col("last").isNotNull() & (F.col("__hash") <= F.col("last")), 1).otherwise(0)
     return sized.join(plan, F.col("__source").eqNullSafe(F.col("s"))).select(
         F.col("__doc").alias(doc_id), F.col("__source").alias(source), *(F.col(f"__keep_{c}").alias(c) for c in keep if c not in (doc_id, source)), "size", "source_size", "target", (F.col("whole") + extra).alias("copies")
