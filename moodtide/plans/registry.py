@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import sentiment
+
+_PLANS = (sentiment,)
+QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
 FLAGSHIP = "sentiment_composite"
