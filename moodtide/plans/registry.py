@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sentiment
+from . import outcomes, sentiment, statistics
 
-_PLANS = (sentiment,)
+_PLANS = (sentiment, outcomes, statistics)
 QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
 FLAGSHIP = "sentiment_composite"
