@@ -21,11 +21,11 @@ def lenient_number(x: Column) -> Column:
 
 
 def us_date(x: Column) -> Column:
-    return F.when(F.trim(x).rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(F.trim(x), F.lit("M/d/yyyy")))
+    return F.when(F.trim(x).rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(F.trim(x), "M/d/yyyy"))
 
 
 def sec_date(x: Column) -> Column:
-    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x, F.lit("yyyy-MM-dd"))).when(x.rlike(r"^\d{2}-\d{2}-\d{4}$"), F.try_to_date(x, F.lit("MM-dd-yyyy")))
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x, "yyyy-MM-dd")).when(x.rlike(r"^\d{2}-\d{2}-\d{4}$"), F.try_to_date(x, "MM-dd-yyyy"))
 
 
 def turkish_number(x: Column) -> Column:
@@ -33,7 +33,7 @@ def turkish_number(x: Column) -> Column:
 
 
 def kap_date(x: Column) -> Column:
-    return F.try_to_date(F.substring(x, 1, 10), F.lit("dd/MM/yyyy"))
+    return F.try_to_date(F.substring(x, 1, 10), "dd/MM/yyyy")
 
 
 def archive_time(x: Column) -> Column:
