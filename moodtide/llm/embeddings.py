@@ -30,7 +30,7 @@ from .components import connected_components
 
 THRESHOLD = 0.93
 TABLES, PROJECTIONS, WIDTH, SEED = 40, 12, 1.5, 5
-BLOCK = 1024
+BLOCK = 256
 
 
 def bucket_numbers(unit: np.ndarray, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED) -> np.ndarray:
