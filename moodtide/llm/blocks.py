@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 
 def units(posts: DataFrame, keys: list[str], spread: Column, block: int) -> DataFrame:
-    """posts of lists with two rows or more, with `unit` (an integer for the pair of blocks) and `side` (0 or 1).
+    """posts of lists with two rows or more, with `unit` (an integer for the pair of blocks) and `side`: 0 where a
+    block meets itself, else 1 and 2 for the two blocks, one of which may have no rows.
 
     Lists are counted with partial sums and joined back; only lists over `block` rows are dealt into blocks, each row into as many units as its list has blocks.
     """
@@ -29,8 +30,8 @@ def units(posts: DataFrame, keys: list[str], spread: Column, block: int) -> Data
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other)
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-    # a block meets itself in the unit (mine, mine), where all its rows are on side 0
-    return dealt.withColumn("unit", lo * F.col("blocks") + hi).withColumn("side", F.when(F.col("mine") == lo, 0).otherwise(1)).drop("n", "blocks", "mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return dealt.withColumn("unit", lo * F.col("blocks") + hi).withColumn("side", side).drop("n", "blocks", "mine", "other")
 
 
 def whole_lists(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

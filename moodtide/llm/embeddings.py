@@ -89,11 +89,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
             counts, label_of = np.zeros(len(cls), np.int64), np.arange(len(cls))
             for lo, hi in zip(starts[:-1], starts[1:]):
                 unit = unit_vectors(flat[ends[lo] : ends[hi]].reshape(hi - lo, -1))
-                left = np.flatnonzero(side[lo:hi] == 0)
-                right = np.flatnonzero(side[lo:hi] == 1)
-                alone = not len(right)
-                right = left if alone else right
-                if not len(left):
+                alone = side[lo] == 0
+                left = np.flatnonzero(side[lo:hi] <= 1)
+                right = left if alone else np.flatnonzero(side[lo:hi] == 2)
+                if not len(left) or not len(right):
                     continue
                 near = unit[left] @ unit[right].T >= threshold
                 if alone:

@@ -82,15 +82,12 @@ def links(prints: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> Da
         for table in whole_lists(batches, order):
             fp = table.column("fp").to_numpy().view(np.uint64)
             side = table.column("side").to_numpy()
-            diagonal = np.zeros(len(fp), bool)
             starts = list_starts(table, order)
-            sizes = np.diff(np.r_[starts, len(fp)])
-            diagonal = np.repeat(np.add.reduceat(side, starts) == 0, sizes)
 
             def close(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 differ = fp[i] ^ fp[j]
                 tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-                ok = (tally >= 8 - distance) & (diagonal[i] | (side[i] != side[j]))
+                ok = (tally >= 8 - distance) & ((side[i] == 0) | (side[i] != side[j]))
                 ok[ok] = np.bitwise_count(differ[ok]) <= distance
                 return ok
 
@@ -102,26 +99,32 @@ def links(prints: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> Da
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp (long), component_id (the smallest doc_id that links lead to; null only if all are) and
-    first_fp (the fingerprint of the row that has it), and the columns named by keep."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, distance: int, group: int, keep: list[str]) -> DataFrame:
+    """__doc, __fp, __component, __first and __keep_<c> for each kept column: names that columns of docs can't clash with."""
     kept = [F.col(f"`{c}`").alias(f"__keep_{c}") for c in keep]
-    printed = materialise(docs.select(F.col(doc_id).alias("__doc"), *kept, fingerprint(F.col(text), shingle).alias("fp")))
-    classes = materialise(printed.groupBy("fp").agg(F.min("__doc").alias("least")))
+    printed = materialise(docs.select(F.col(doc_id).alias("__doc"), *kept, fingerprint(F.col(text), shingle).alias("__fp")))
+    classes = materialise(printed.groupBy(F.col("__fp").alias("fp")).agg(F.min("__doc").alias("least")))
     parts = connected_components(links(classes.select("fp"), distance, group))
     linked = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     least = linked.groupBy("part").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("x"))
-    of = materialise(linked.join(least, "part").select("fp", F.col("x.least").alias("component_id"), F.col("x.fp").alias("first_fp")))
-    return printed.join(of, "fp").select(F.col("__doc").alias(doc_id), *(F.col(f"__keep_{c}").alias(c) for c in keep), "fp", "component_id", "first_fp")
+    of = materialise(linked.join(least, "part").select(F.col("fp").alias("__fp"), F.col("x.least").alias("__component"), F.col("x.fp").alias("__first")))
+    return printed.join(of, "__fp")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (long), component_id (the smallest doc_id that links lead to; null only if all are) and
+    first_fp (the fingerprint of the row that has it), and the columns named by keep but those with one of these names."""
+    own = (doc_id, "fp", "component_id", "first_fp")
+    found = _grouped(docs, doc_id, text, shingle, distance, group, [c for c in keep if c not in own])
+    return found.select(*(F.col(c).alias(n) for c, n in zip(("__doc", "__fp", "__component", "__first"), own)), *(F.col(f"`__keep_{c}`").alias(c) for c in keep if c not in own))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its own columns. Of rows that also
     share id and fingerprint with it one stays."""
-    others = tuple(c for c in docs.columns if c != doc_id)
-    found = near_duplicates(docs, doc_id, text, keep=others, **how).withColumnRenamed("fp", "__fp")
-    first = found.filter((F.col("__fp") == F.col("first_fp")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("component_id")))
-    return first.dropDuplicates([doc_id, "__fp"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = _grouped(docs, doc_id, text, shingle, distance, group, docs.columns)
+    first = found.filter((F.col("__fp") == F.col("__first")) & F.col("__doc").eqNullSafe(F.col("__component")))
+    return first.dropDuplicates(["__doc", "__fp"]).select(*(F.col(f"`__keep_{c}`").alias(c) for c in docs.columns))
 
 
 def op3_simhash_near_dedup(spark, sf_dir):
