@@ -57,8 +57,8 @@ def water_fill(sources: DataFrame, total: float) -> DataFrame:
     return sources.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, the columns named by keep, size, source_size, target and copies (how often the mix holds the document)."""
+def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, weights, share: float, max_epochs: float, seed: int, keep: list[str]) -> DataFrame:
+    """__doc, __source, size, source_size, target, copies and __keep_<c> for each kept column."""
     hashed = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).bitwiseAND((1 << 63) - 1)
     sized = materialise(docs.select(F.col(doc_id).alias("__doc"), F.col(source).alias("__source"), n_words(F.col(text)).alias("size"), hashed.alias("__hash"), *(F.col(f"`{c}`").alias(f"__keep_{c}") for c in keep)))
     sizes = sized.groupBy("__source").agg(F.sum("size").alias("source_size"))
@@ -88,9 +88,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     # written out, so that Spark knows its size when it chooses how to join the documents with it
     plan = materialise(goal.join(bound, F.col("__source").eqNullSafe(F.col("s2")), "left").select(F.col("__source").alias("s"), "source_size", "target", "whole", "last"))
     extra = F.when(F.col("last").isNotNull() & (F.col("__hash") <= F.col("last")), 1).otherwise(0)
-    return sized.join(plan, F.col("__source").eqNullSafe(F.col("s"))).select(
-        F.col("__doc").alias(doc_id), F.col("__source").alias(source), *(F.col(f"__keep_{c}").alias(c) for c in keep if c not in (doc_id, source)), "size", "source_size", "target", (F.col("whole") + extra).alias("copies")
-    )
+    return sized.join(plan, F.col("__source").eqNullSafe(F.col("s"))).select("__doc", "__source", *(f"`__keep_{c}`" for c in keep), "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (how often the mix holds the document), and the columns
+    named by keep but those with one of these names."""
+    own = (doc_id, source, "size", "source_size", "target", "copies")
+    keep = [c for c in keep if c not in own]
+    found = _mixed(docs, doc_id, text, source, weights, share, max_epochs, seed, keep)
+    return found.select(F.col("__doc").alias(doc_id), F.col("__source").alias(source), *own[2:], *(F.col(f"`__keep_{c}`").alias(c) for c in keep))
+
+
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of docs with their own columns, as often as the mix holds them."""
+    found = _mixed(docs, doc_id, text, source, weights, share, max_epochs, seed, docs.columns)
+    copies = found.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return copies.select(*(F.col(f"`__keep_{c}`").alias(c) for c in docs.columns))
 
 
 def op9_mixing_sources(spark, sf_dir):
