@@ -296,15 +296,31 @@ def test_passages_are_found_and_others_left(spark):
     assert {r.earlier_doc_id for r in got if r.doc_id == 5} == {4}
 
 
-def test_copies_by_the_hundred_link_to_the_one_before(spark):
+def test_copies_by_the_hundred_link_to_the_ones_before(spark):
     rng = np.random.default_rng(11)
     text = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 120))
     df = spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string").repartition(4)
     got = substrings.repeated_passages(df).collect()
-    assert {(r.doc_id, r.earlier_doc_id) for r in got} == {(i, i - 1) for i in range(1, 300)}
+    assert {(r.doc_id, r.earlier_doc_id) for r in got} == {(i, i - k) for i in range(1, 300) for k in (1, 2) if i >= k}
     assert all((r.passage_start, r.passage_end) == (0, 120) for r in got)
 
 
+@pytest.mark.parametrize("links", [1, 2, 3])
+def test_matches_cross_the_borders_of_tasks(spark, links):
+    rng = np.random.default_rng(14)
+    rows = sorted({(int(a), int(b), int(c)) for a, b, c in zip(rng.integers(0, 6, 80), rng.integers(0, 9, 80), rng.integers(0, 3, 80))})
+    want = {(*rows[i][1:], *rows[i - d][1:]) for i in range(len(rows)) for d in range(1, links + 1) if i >= d and rows[i][0] == rows[i - d][0]}
+    posts = spark.createDataFrame(rows, "seed long, doc long, pos int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = substrings.matches(posts, links).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r.doc, r.pos, r.prev, r.prev_pos) for r in got} == want
+
+
 def test_chaining_is_optimal_on_small_cases():
     rng = np.random.default_rng(12)
     for _ in range(50):
