@@ -10,7 +10,7 @@ from dateutil.easter import easter
 from pyspark.sql import functions as F
 
 from moodtide.functions import numbers as N, texts
-from moodtide.operators import calendars as C, models as M, positions as P, stats as T, windows as W
+from moodtide.operators import calendars as C, models as M, policies as K, positions as P, stats as T, studies as D, windows as W
 from moodtide.sources import filings as R
 
 
@@ -169,3 +169,48 @@ def test_empty_tables(spark):
     assert W.momentum(empty, ["symbol"]).count() == 0
     assert W.expanding_midrank(W.momentum(empty, ["symbol"]), ["symbol"]).count() == 0
     assert P.wealth(empty.withColumn("position", F.lit(1.0)), ["symbol"]).count() == 0
+
+
+def test_leverage_is_a_ledger_of_risk_and_cash(spark):
+    rng = np.random.default_rng(6)
+    close = np.exp(np.cumsum(rng.normal(0, 0.02, 120)))
+    target = [None if k % 4 else float(x) for k, x in enumerate(rng.choice([0.5, 1.0, 1.5], 120))]
+    rows = [("x", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(c), t) for i, (c, t) in enumerate(zip(close, target))]
+    df = spark.createDataFrame(rows, "symbol string, date date, close double, target double")
+    got = K.leveraged(df, ["symbol"], 0.005, 0.05).orderBy("date").collect()
+    units, cash = 1 / close[0], 0.0
+    for i in range(1, 120):
+        cash *= math.exp((0.05 if cash < 0 else 0.0) / 365.2425)
+        wealth = units * close[i] + cash
+        if target[i - 1] is not None:
+            low, high = 0.0, wealth
+            for _ in range(80):
+                mid = (low + high) / 2
+                low, high = (low, mid) if mid + 0.005 * abs(target[i - 1] * mid - units * close[i]) > wealth else (mid, high)
+            units, cash = target[i - 1] * low / close[i], low - target[i - 1] * low
+        assert got[i].wealth == pytest.approx(units * close[i] + cash, rel=1e-9)
+    falling = spark.createDataFrame([("x", dt.date(2020, 1, 1 + i), 1.0 - 0.2 * i, 2.0 if i == 0 else None) for i in range(5)], "symbol string, date date, close double, target double")
+    path = [(round(r.wealth, 6), round(r.exposure, 6)) for r in K.leveraged(falling, ["symbol"], 0.0, 0.0, floor=0.4).orderBy("date").collect()]
+    assert path == [(1.0, 1.0), (0.8, 2.0), (0.4, 0.0), (0.4, 0.0), (0.4, 0.0)]
+
+
+def test_banded_schedule_keeps_small_moves(spark):
+    ratios = [1.0, 1.05, 1.3, 1.25, 0.2, None, 9.0]
+    df = spark.createDataFrame([("x", dt.date(2020, 1 + i, 1), r) for i, r in enumerate(ratios)], "symbol string, month date, ratio double")
+    got = [r.target for r in D.banded_schedule(df, ["symbol"], 1.0, 1.5).orderBy("month").collect()]
+    assert got == [1.0, 1.0, 1.3, 1.3, 0.5, 1.5]
+
+
+def test_walk_forward_equals_refitting(spark):
+    rng = np.random.default_rng(7)
+    n = 90
+    x = rng.normal(size=(n, 2))
+    y = x @ [0.5, -1.0] + 0.2 + rng.normal(size=n) * 0.3
+    df = spark.createDataFrame([("x", dt.date(2020, 1, 1) + dt.timedelta(days=i), *map(float, x[i]), float(y[i])) for i in range(n)], "symbol string, date date, a double, b double, label double")
+    got = D.walk_forward(df, ["symbol"], ["a", "b"], "label", 30, 7).orderBy("date").collect()
+    assert len(got) == n - 30
+    for k, r in enumerate(got):
+        start = 30 + k // 7 * 7
+        past = np.column_stack([np.ones(start - 1), x[: start - 1]])
+        beta = np.linalg.lstsq(past, y[: start - 1], rcond=None)[0]
+        assert r.forecast == pytest.approx(beta[0] + x[30 + k] @ beta[1:])
