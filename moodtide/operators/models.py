@@ -70,18 +70,19 @@ def prequential(rows: DataFrame, keys: list[str], features: list[str], label: st
     return out.withColumn("forecast", F.nanvl("forecast", F.lit(None).cast("double")))
 
 
-def gram(rows: DataFrame, keys: list[str], features: list[str], label: str) -> DataFrame:
-    """Sums and products of features and label by key: all that least squares needs, of a size that doesn't grow with the rows."""
+def gram(rows: DataFrame, keys: list[str], features: list[str], label: str, weight: str | None = None) -> DataFrame:
+    """(Weighted) sums and products of features and label by key: all that least squares needs, of a size that doesn't grow with the rows."""
     names = ["1", *features, label]
     col = lambda c: F.lit(1.0) if c == "1" else F.col(c)
     complete = rows.dropna(subset=[*features, label])
-    return complete.groupBy(*keys).agg(*(F.sum(col(a) * col(b)).alias(f"{a}*{b}") for i, a in enumerate(names) for b in names[i:]))
+    w = F.col(weight) if weight else F.lit(1.0)
+    return complete.groupBy(*keys).agg(*(F.sum(w * col(a) * col(b)).alias(f"{a}*{b}") for i, a in enumerate(names) for b in names[i:]))
 
 
-def least_squares(rows: DataFrame, keys: list[str], features: list[str], label: str, penalty: float = 0.0) -> DataFrame:
-    """key, term, coefficient of ordinary (or ridge) least squares by key."""
+def least_squares(rows: DataFrame, keys: list[str], features: list[str], label: str, penalty: float = 0.0, weight: str | None = None) -> DataFrame:
+    """key, term, coefficient of ordinary (weighted, ridge) least squares by key."""
     names = ["1", *features, label]
-    sums = gram(rows, keys, features, label)
+    sums = gram(rows, keys, features, label, weight)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
@@ -94,6 +95,36 @@ def least_squares(rows: DataFrame, keys: list[str], features: list[str], label:
     return sums.groupBy(*keys).applyInPandas(solve, schema)
 
 
+def residual_pls(rows: DataFrame, keys: list[str], controls: list[str], components: list[str], label: str) -> DataFrame:
+    """key, term, coefficient of a one-factor partial least squares on what controls leave of components and label.
+
+    Components' residuals are standardised, weighed by their covariance with the label's residual, and make one
+    score, on which that residual is regressed. All of it follows from one matrix of sums and products, so that
+    the rows are read once; the coefficients are those of the raw terms."""
+    features = [*controls, *components]
+    names = ["1", *features, label]
+    sums = gram(rows, keys, features, label)
+    k = 1 + len(controls)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        m = np.array([[row[f"{names[min(i, j)]}*{names[max(i, j)]}"] for j in range(len(names))] for i in range(len(names))], float)
+        on_controls = np.linalg.solve(m[:k, :k], m[:k, k:])
+        left = m[k:, k:] - m[k:, :k] @ on_controls
+        sd = np.sqrt(np.maximum(np.diag(left)[:-1] / m[0, 0], 1e-300))
+        cov = left[:-1, -1] / sd
+        w = cov / np.linalg.norm(cov)
+        spread = (w / sd) @ left[:-1, :-1] @ (w / sd)
+        per_component = (w @ cov) / spread * w / sd
+        base = on_controls[:, -1] - on_controls[:, :-1] @ per_component
+        beta = [*base, *per_component]
+        return pd.DataFrame({**{c: [row[c]] * len(beta) for c in keys}, "term": ["intercept", *features], "coefficient": beta})
+
+    fields = {f.name: f for f in sums.schema.fields}
+    schema = T.StructType([*(fields[c] for c in keys), T.StructField("term", T.StringType()), T.StructField("coefficient", T.DoubleType())])
+    return sums.groupBy(*keys).applyInPandas(solve, schema)
+
+
 def lcg(seed: int, n: int) -> np.ndarray:
     """The first n values in [0, 1) of the linear congruential generator modulo 2^32, without a loop over them: its jumps double."""
     out = np.empty(n, np.uint64)

@@ -39,6 +39,16 @@ def holdings_changes(spark, sf_dir):
     return changes.select("to_month", F.coalesce("ticker_to", "ticker_from").alias("ticker"), "kind", "delta", "expected", "value")
 
 
+def trade_entries(spark, sf_dir):
+    """Per month how many changes of each kind, and the three largest as text."""
+    c = holdings_changes(spark, sf_dir)
+    place = F.row_number().over(W.Window.partitionBy("to_month").orderBy(F.desc("value"), "ticker"))
+    ranked = c.withColumn("place", place)
+    top = F.sort_array(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", F.concat_ws(" ", "kind", "ticker").alias("t")))))
+    kinds = [F.count(F.when(F.col("kind") == k, 1)).alias(k.lower().replace(" ", "_")) for k in ("NEW", "SOLD OUT", "INCREASE", "DECREASE")]
+    return ranked.groupBy("to_month").agg(*kinds, F.array_join(F.transform(top, lambda x: x["t"]), "; ").alias("largest"))
+
+
 def filing_changes(spark, sf_dir):
     """Quarters of parts by line status as filings: every quarter against the one before."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linestatus", F.trunc("l_shipdate", "quarter").alias("quarter"), "l_quantity", cents(F.col("l_extendedprice")).alias("c"))
@@ -123,7 +133,7 @@ def parsed_texts(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (holdings_changes, filing_changes, entity_resolution, calendar_days, filing_deadlines, missing_sessions, roll_chains, latest_versions, changed_observations, nav_proofs, parsed_texts)}
+QUERIES = {f.__name__: f for f in (holdings_changes, trade_entries, filing_changes, entity_resolution, calendar_days, filing_deadlines, missing_sessions, roll_chains, latest_versions, changed_observations, nav_proofs, parsed_texts)}
 
 
 def _observed(m: int, d: int) -> str:
@@ -178,3 +188,5 @@ select s_suppkey, case when gap <= 4 and abs(net - nav * units) <= greatest(1, a
 case when floor(net / nav + 0.5) > 0 and abs(net / nav - floor(net / nav + 0.5)) <= greatest(0.01::double / nav, 1e-6) then floor(net / nav + 0.5)::double end as units from f""",
     "parsed_texts": "select o_orderkey, case when o_orderkey % 2 = 0 then round(o_totalprice, 2) else -round(o_totalprice, 2) end as amount, o_orderdate::date as us, o_orderdate::date as sec, round(o_totalprice, 2) as turkish, o_orderdate::date as kap, lpad(o_custkey::varchar, 10, '0') as cik from orders",
 }
+ORACLES["trade_entries"] = f"""with c as ({ORACLES["holdings_changes"]}), r as (select *, row_number() over (partition by to_month order by value desc, ticker) as place from c)
+select to_month, count(*) filter (kind = 'NEW') as new, count(*) filter (kind = 'SOLD OUT') as sold_out, count(*) filter (kind = 'INCREASE') as increase, count(*) filter (kind = 'DECREASE') as decrease, string_agg(kind || ' ' || ticker, '; ' order by place) filter (place <= 3) as largest from r group by 1"""

@@ -8,8 +8,8 @@ from ..operators import models as M, outcomes as O, windows as W
 from ..sources import filings as R
 from ..sources.bars import REGION_SQL, cents, region_bars, table
 from ..streaming import ledger as L
-from .outcomes import momentum_scores
-from .sentiment import rounded
+from .outcomes import SCORE_SQL, momentum_scores
+from .sentiment import label_sql, rounded
 
 S = ["symbol"]
 PRICE = ["log1", "log5", "log20", "vol20", "trend"]
@@ -33,6 +33,29 @@ def least_squares(spark, sf_dir):
     return rounded(out, "coefficient")
 
 
+def weighted_least_squares(spark, sf_dir):
+    """The same over all regions, each region weighing the same."""
+    rows = learner_rows(spark, sf_dir).select("symbol", "log1", "label").dropna()
+    weighed = rows.withColumn("w", 1 / F.count("*").over(W.Window.partitionBy("symbol"))).withColumn("k", F.lit("all"))
+    return rounded(M.least_squares(weighed, ["k"], ["log1"], "label", weight="w"), "coefficient")
+
+
+def residual_pls(spark, sf_dir):
+    """What scores add to price features for the next log return."""
+    return rounded(M.residual_pls(learner_rows(spark, sf_dir), S, PRICE, ["centre", "square", "d1", "d5", "d21"], "label"), "coefficient")
+
+
+def monthly_progress(spark, sf_dir):
+    """The last score of each completed month, its label, and how many days of fear and greed it had."""
+    from ..functions.numbers import displayed, label
+
+    scores = momentum_scores(spark, sf_dir).filter("score is not null").withColumn("month", F.trunc("date", "month")).withColumn("score", F.round("score", 6))
+    shown = displayed(F.col("score"))
+    months = scores.groupBy("symbol", "month").agg(F.max_by("score", "date").alias("score"), F.count(F.when(shown <= 24, 1)).alias("fear"), F.count(F.when(shown >= 75, 1)).alias("greed"))
+    open_ = F.max("month").over(W.Window.partitionBy("symbol"))
+    return months.withColumn("open", open_).filter("month < open").drop("open").withColumn("label", label(F.col("score")))
+
+
 def block_bootstrap(spark, sf_dir):
     months = O.monthly_variance(region_bars(spark, sf_dir).withColumn("r", W.log_return(F.col("close"), S)), S).select("symbol", F.col("month").alias("date"), F.log("variance").alias("v"))
     return rounded(M.block_bootstrap(months, S, "v", 6, 2000, 20260825), "low", "median", "high", "share_below")
@@ -103,10 +126,16 @@ def event_props(spark, sf_dir):
     return R.event_props(table(spark, sf_dir, "events"))
 
 
-QUERIES = {f.__name__: f for f in (prequential_decisions, least_squares, block_bootstrap, asset_rotation, ledger_chain, ledger_events, ledger_endpoint, chart_round_trip, information_table, filing_list, page_fields, event_props)}
+QUERIES = {f.__name__: f for f in (prequential_decisions, least_squares, weighted_least_squares, residual_pls, monthly_progress, block_bootstrap, asset_rotation, ledger_chain, ledger_events, ledger_endpoint, chart_round_trip, information_table, filing_list, page_fields, event_props)}
 
 ENTRY_SQL = "entries as (select o_custkey, o_orderdate::date as date, o_orderkey, o_orderstatus, round(o_totalprice * 100)::bigint as cents from orders qualify row_number() over (partition by o_custkey, o_orderdate::date order by o_orderkey) = 1)"
 ORACLES = {
+    "weighted_least_squares": f"""with {REGION_SQL}, r as (select symbol, ln(close / lag(close) over w) as x, ln(lead(close, 2) over w / lead(close, 1) over w) as y from region_bars window w as (partition by symbol order by date)),
+w as (select *, 1.0::double / count(*) over (partition by symbol) as w from r where x is not null and y is not null), s as (select sum(w) as n, sum(w * x) as x, sum(w * y) as y, sum(w * x * x) as xx, sum(w * x * y) as xy from w)
+select 'all' as k, 'log1' as term, round((n * xy - x * y) / (n * xx - x * x), 6) as coefficient from s union all select 'all', 'intercept', round((y - (n * xy - x * y) / (n * xx - x * x) * x) / n, 6) from s""",
+    "monthly_progress": f"""with {SCORE_SQL}, s as (select symbol, date_trunc('month', date)::date as month, date, round(score, 6) as score, floor(floor(round(score, 6) * 10 + 0.5) / 10 + 0.5) as shown from scored where score is not null),
+m as (select symbol, month, max_by(score, date) as score, count(*) filter (shown <= 24) as fear, count(*) filter (shown >= 75) as greed from s group by 1, 2)
+select symbol, month, score, fear, greed, {label_sql('floor(score * 10 + 0.5) / 10')} as label from m a where month < (select max(month) from m b where b.symbol = a.symbol)""",
     "least_squares": f"""with {REGION_SQL}, r as (select symbol, ln(close / lag(close) over w) as x, ln(lead(close, 2) over w / lead(close, 1) over w) as y from region_bars window w as (partition by symbol order by date))
 select symbol, 'intercept' as term, round(regr_intercept(y, x), 6) as coefficient from r group by 1 union all select symbol, 'log1', round(regr_slope(y, x), 6) from r group by 1""",
     "ledger_chain": f"""with {ENTRY_SQL}, d as (select *, sha256('{{"cents":' || cents || ',"date":"' || date || '","o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}') as digest from entries)

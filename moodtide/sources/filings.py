@@ -59,6 +59,24 @@ def _information(rows: DataFrame, lenient: bool) -> DataFrame:
     return rows.select(*known, F.col("nameOfIssuer").alias("issuer"), F.col("titleOfClass").alias("title"), cusip.alias("cusip"), F.col("cusip").alias("cusip_as_filed"), "value", F.col("shrsOrPrnAmt.sshPrnamt").alias("shares"), F.col("shrsOrPrnAmt.sshPrnamtType").alias("share_type"), F.col("putCall").alias("put_call"), F.col("votingAuthority.Sole").alias("sole"), F.col("votingAuthority.Shared").alias("shared"), F.col("votingAuthority.None").alias("none"))
 
 
+NPORT = "genInfo struct<regCik: string, regName: string, seriesId: string, seriesName: string, repPdEnd: string, repPdDate: string>, fundInfo struct<totAssets: double, netAssets: double>, invstOrSecs struct<invstOrSec: array<struct<name: string, lei: string, title: string, cusip: string, identifiers: struct<isin: struct<_value: string>, ticker: struct<_value: string>>, balance: double, units: string, curCd: string, valUSD: double, pctVal: double, payoffProfile: string, assetCat: string, invCountry: string>>>"
+
+
+def fund_reports(docs: DataFrame, xml: str = "xml") -> DataFrame:
+    """Holdings of fund reports (one formData element per row of docs): series, report date, totals, and per holding its
+    identifiers, balance and value; names that were cut are replaced by titles that begin with them."""
+    kept = [c for c in docs.columns if c != xml]
+    doc = docs.select(*kept, F.from_xml(F.col(xml), NPORT, {"attributePrefix": "_"}).alias("d"))
+    rows = doc.select(*kept, texts.cik(F.col("d.genInfo.regCik")).alias("cik"), F.col("d.genInfo.seriesId").alias("series"), texts.sec_date(F.col("d.genInfo.repPdDate")).alias("report"), F.col("d.fundInfo.netAssets").alias("net_assets"), F.explode("d.invstOrSecs.invstOrSec").alias("h"))
+    name = F.when(F.upper("h.title").startswith(F.upper("h.name")), F.col("h.title")).otherwise(F.col("h.name"))
+    return rows.select(*kept, "cik", "series", "report", "net_assets", name.alias("name"), texts.valid_cusip(F.col("h.cusip")).alias("cusip"), F.col("h.identifiers.isin._value").alias("isin"), F.col("h.identifiers.ticker._value").alias("ticker"), F.col("h.balance").alias("balance"), F.col("h.valUSD").alias("value"), F.col("h.pctVal").alias("pct"), F.col("h.assetCat").alias("category"))
+
+
+def cash_like(category: Column, name: Column, tickers: tuple[str, ...], ticker: Column) -> Column:
+    """Whether a holding stands for cash: by category, by name, or by a list."""
+    return F.coalesce(category.isin("STIV", "RA"), F.lit(False)) | F.coalesce(name.rlike("(?i)(money market|treasury obligations|government portfolio)"), F.lit(False)) | F.coalesce(ticker.isin(*tickers), F.lit(False))
+
+
 def value_in_dollars(value: Column, filed: Column) -> Column:
     """Values were filed in thousands before 2023."""
     return F.when(filed < F.lit("2023-01-03").cast("date"), value * 1000).otherwise(value)

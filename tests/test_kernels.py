@@ -214,3 +214,29 @@ def test_walk_forward_equals_refitting(spark):
         past = np.column_stack([np.ones(start - 1), x[: start - 1]])
         beta = np.linalg.lstsq(past, y[: start - 1], rcond=None)[0]
         assert r.forecast == pytest.approx(beta[0] + x[30 + k] @ beta[1:])
+
+
+def test_residual_pls_equals_its_steps(spark):
+    rng = np.random.default_rng(8)
+    n = 200
+    c, x = rng.normal(size=(n, 2)), rng.normal(size=(n, 3))
+    x[:, 0] += c[:, 1]
+    y = c @ [1.0, 2.0] + x @ [0.5, 0.2, 0.0] + rng.normal(size=n)
+    df = spark.createDataFrame([("x", *map(float, c[i]), *map(float, x[i]), float(y[i])) for i in range(n)], "symbol string, c1 double, c2 double, x1 double, x2 double, x3 double, y double")
+    got = {r.term: r.coefficient for r in M.residual_pls(df, ["symbol"], ["c1", "c2"], ["x1", "x2", "x3"], "y").collect()}
+    base = np.column_stack([np.ones(n), c])
+    left = lambda v: v - base @ np.linalg.lstsq(base, v, rcond=None)[0]
+    rx, ry = left(x), left(y)
+    z = rx / rx.std(axis=0)
+    w = z.T @ ry
+    w /= np.linalg.norm(w)
+    score = z @ w
+    fit = base @ np.linalg.lstsq(base, y, rcond=None)[0] + score * (score @ ry) / (score @ score)
+    mine = got["intercept"] + c @ [got["c1"], got["c2"]] + x @ [got["x1"], got["x2"], got["x3"]]
+    assert mine == pytest.approx(fit)
+
+
+def test_fund_report(spark):
+    xml = "<formData><genInfo><regCik>1234</regCik><seriesId>S1</seriesId><repPdDate>2026-06-30</repPdDate></genInfo><fundInfo><netAssets>100.5</netAssets></fundInfo><invstOrSecs><invstOrSec><name>CUT NAM</name><title>Cut Name Corporation</title><cusip>037833100</cusip><identifiers><isin value='US0378331005'/></identifiers><balance>5</balance><valUSD>50</valUSD><assetCat>EC</assetCat></invstOrSec><invstOrSec><name>First Money Market</name><title>5% Notes</title><cusip>000000000</cusip><balance>1</balance><valUSD>1</valUSD><assetCat>STIV</assetCat></invstOrSec></invstOrSecs></formData>"
+    rows = R.fund_reports(spark.createDataFrame([(xml,)], "xml string")).collect()
+    assert [(r.name, r.cusip, r.isin, r.cik, r.net_assets) for r in rows] == [("Cut Name Corporation", "037833100", "US0378331005", "0000001234", 100.5), ("First Money Market", None, None, "0000001234", 100.5)]
