@@ -35,10 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, and a lost executor
     costs only the tasks that ran on it. The table is compressed and columnar, so it takes less room than
-    a checkpoint of rows."""
+    a checkpoint of rows. It is deleted when the application ends, or by drop_materialised()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/moodtide-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -95,14 +95,14 @@ def rules(m: str = "m") -> list[Rule]:
 POLICIES = {"base": 0b11, "v1": 0b11111111}
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `m` (measurements) and `failed_bits` (long) added; columns of docs with these names go."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("m", "failed_bits")]
-    out = docs.select(*kept, measures(F.col(text)).alias("m"))
-    bits = F.lit(0).cast("long")
-    for r in rules():
-        bits = bits.bitwiseOR(F.when(r.fails, F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return out.withColumn("failed_bits", bits)
+def ledger(docs: DataFrame, text: str = "text", m: str = "m", bits: str = "failed_bits") -> DataFrame:
+    """docs with `m` (measurements) and `failed_bits` (long) added, or as they are named; columns of docs with these names go."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (m, bits)]
+    out = docs.select(*kept, measures(F.col(text)).alias(m))
+    failed = F.lit(0).cast("long")
+    for r in rules(m):
+        failed = failed.bitwiseOR(F.when(r.fails, F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+    return out.withColumn(bits, failed)
 
 
 def passes(policy: str = "v1", bits: str = "failed_bits") -> Column:
@@ -130,7 +130,7 @@ def ablation(entries: DataFrame, policy: str = "v1", bits: str = "failed_bits")
 
 def keep_good(docs: DataFrame, text: str = "text", policy: str = "v1") -> DataFrame:
     """The documents that the policy keeps, with their own columns."""
-    return ledger(docs, text).filter(passes(policy)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return ledger(docs, text, "__m", "__bits").filter(passes(policy, "__bits")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_quality_rules(spark, sf_dir):

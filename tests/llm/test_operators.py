@@ -67,6 +67,15 @@ def test_quality_measures(docs, rows):
         assert bool(got[i].failed_bits & 3) == (len(w) < 50 or 100 * len(inside) > 50 * len(w))
 
 
+def test_columns_with_names_that_operators_use_stay(docs, spark):
+    odd = docs.withColumn("m", F.lit(1)).withColumn("failed_bits", F.lit("x")).withColumn("copies", F.lit("c")).withColumn("component_id", F.lit(3)).withColumn("__key", F.lit(4))
+    for made in (quality.keep_good(odd), simhash.keep_one(odd), mixing.repeated(odd)):
+        assert made.columns == odd.columns and {(r.m, r.failed_bits, r.copies, r.component_id) for r in made.collect()} == {(1, "x", "c", 3)}
+    pages = spark.createDataFrame([(1, "http://a.com/en/1", 5, "q", 7)], "page_id long, url string, best int, expr string, digest int")
+    row = urls.judge(pages, urls.rule_table(spark)).first()
+    assert (row.best, row.expr, row.digest, row.rule) == (5, "q", 7, "com/en/")
+
+
 def test_ablation_counts(docs):
     entries = quality.ledger(docs)
     bits = [r.failed_bits for r in entries.collect()]
