@@ -42,7 +42,7 @@ def automatic_bandwidth(n: Column) -> Column:
     return F.floor(4 * F.pow(n / 100, F.lit(2 / 9)))
 
 
-def newey_west_slope(df: DataFrame, keys: list[str], score: str, outcome: str, horizon: int) -> DataFrame:
+def newey_west_slope(df: DataFrame, keys: list[str], score: str, outcome: str, horizon: Column | int) -> DataFrame:
     """The slope of an outcome per ten points of score, with a Bartlett-weighted covariance and a two-sided test."""
     per = Window.partitionBy(*keys)
     x, y = (F.col(score) - 50) / 10, F.col(outcome)
