@@ -26,7 +26,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_url_filters": urls.ORACLE,
     "op7_line_dedup": lines.ORACLE,
 }
