@@ -139,3 +139,27 @@ def op10_quality_rules(spark, sf_dir):
     return ledger(docs).select(
         "doc_id", *(F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), "failed_bits"
     )
+
+
+ORACLE = r"""
+with split as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') as words,
+    [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^ \t\n\x0B\f\r]')] as lines
+  from documents),
+grams as (select doc_id, unnest(range(len(words) - 2)) as i, unnest([words[k:k + 2] for k in range(1, len(words) - 1)]) as g from split where len(words) > 2),
+found as (select doc_id, i, count(*) over (partition by doc_id, g) > 1 as twice from grams),
+covered as (select doc_id, count(distinct i + d) as n_repeat_words from found, range(3) as t(d) where twice group by doc_id),
+tops as (select doc_id, max(n) as n_top_word from (select doc_id, w, count(*) as n from (select doc_id, unnest(words) as w from split) group by doc_id, w) group by doc_id),
+measured as (
+  select s.doc_id, len(words) as n_words, length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    coalesce(c.n_repeat_words, 0) as n_repeat_words, coalesce(t.n_top_word, 0) as n_top_word,
+    len([w for w in words if regexp_matches(w, '^[^\x00-@\[-`{-\x7F]')]) as n_alpha_words
+  from split s left join covered c on s.doc_id = c.doc_id left join tops t on s.doc_id = t.doc_id),
+judged as (
+  select *, (n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (10 * n_symbols > n_words)::int + 8 * (100 * n_dup_lines > 50 * n_lines)::int
+    + 16 * (word_chars < 2 * n_words)::int + 32 * (word_chars > 15 * n_words)::int + 64 * (100 * n_top_word > 40 * n_words)::int + 128 * (100 * n_alpha_words < 60 * n_words)::int as failed_bits
+  from measured)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 != 0 as base_failed, failed_bits = 0 as kept, failed_bits::bigint as failed_bits
+from judged
+"""

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines, urls
+from . import lines, quality, urls
 from .embeddings import op8_embedding_near_dedup
 from .mixing import op9_mixing_sources
 from .packing import op2_best_fit_packing
-from .quality import op10_quality_rules
 from .simhash import op3_simhash_near_dedup
 from .substrings import op1_substring_dedup
 from .tokens import op6_token_counts
@@ -22,10 +21,11 @@ QUERIES = {
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_mixing_sources": op9_mixing_sources,
-    "op10_quality_rules": op10_quality_rules,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op5_url_filters": urls.ORACLE,
     "op7_line_dedup": lines.ORACLE,
+    "op10_quality_rules": quality.ORACLE,
 }
