@@ -29,7 +29,6 @@ from .tokens import encoder
 CAPACITY = 2048
 #: Pieces that one task packs; bounds its memory and time.
 TASK_PIECES = 40_000
-PAIR_DOCS = 16
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -52,16 +51,23 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return where
 
 
-def pairs_in_bins(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of documents that share a bin, for bins of at most PAIR_DOCS documents."""
-    order = np.argsort(bins, kind="stable")
-    b = bins[order]
-    counts = np.bincount(b)[b] if len(b) else b
-    left, right = [], []
-    for d in range(1, PAIR_DOCS):
-        same = np.flatnonzero((b[d:] == b[:-d]) & (counts[d:] <= PAIR_DOCS)) if len(b) > d else np.empty(0, np.int64)
-        left.append(order[same])
-        right.append(order[same + d])
+def pairs_in_bins(bins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of documents that share a bin, one for each pair of sizes in it. A bin holds few different
+    sizes, as their sum is at most its capacity (63 for 2048), so however many documents it holds its pairs are bounded."""
+    order = np.lexsort((sizes, bins))
+    b, n = bins[order], sizes[order]
+    # a third document of the same size makes no new pair of sizes
+    third = np.r_[np.zeros(min(2, len(b)), bool), (b[2:] == b[:-2]) & (n[2:] == n[:-2])]
+    order, b, n = order[~third], b[~third], n[~third]
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    d = 1
+    while (b[d:] == b[:-d]).any():
+        i = np.flatnonzero(b[d:] == b[:-d])
+        # of two equal sizes only the second is paired with what follows
+        i = i[(n[i] != n[i + 1]) | (b[i] != b[i + 1]) | (d == 1)]
+        left.append(order[i])
+        right.append(order[i + d])
+        d += 1
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -76,7 +82,7 @@ def improve(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndarray:
         under = np.flatnonzero((fill > 0) & (fill < capacity))
         docs = np.flatnonzero((fill < capacity)[where])
         size, own = sizes[docs], where[docs]
-        first, second = pairs_in_bins(own)
+        first, second = pairs_in_bins(own, size)
         both = size[first] + size[second]
         emptied = 0
         for s in under[np.argsort(fill[under], kind="stable")].tolist():

@@ -122,6 +122,17 @@ def test_packing_is_a_round_trip(docs, rows):
     assert max(places.values()) <= 64 and len(places) <= -(-sum(places.values()) // 64) + 2
 
 
+def test_pairs_in_bins_cover_all_pairs_of_sizes():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        k = rng.integers(0, 40)
+        bins, sizes = rng.integers(0, 4, k), rng.integers(1, 9, k)
+        left, right = packing.pairs_in_bins(bins, sizes)
+        assert all(i != j and bins[i] == bins[j] for i, j in zip(left, right))
+        pair = lambda i, j: (bins[i], *sorted((sizes[i], sizes[j])))
+        assert {pair(i, j) for i, j in zip(left, right)} == {pair(i, j) for i in range(k) for j in range(i) if bins[i] == bins[j]}
+
+
 def test_local_search_empties_bins():
     sizes = np.array([6, 4, 6, 4, 5, 5, 3, 3, 4])
     where = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8])
