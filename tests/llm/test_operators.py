@@ -84,6 +84,23 @@ def test_ablation_counts(docs):
         assert (r.n_failed, r.n_only_this, r.n_kept_without) == (sum(b & one > 0 for b in bits), sum(b == one for b in bits), sum(b & ~one == 0 for b in bits))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_the_faster_split_is_the_library_s(name):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    mine, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    draw = random.Random(2)
+    plain = [c for c in map(chr, range(0x2100)) if tokens._PLAIN.fullmatch(c)]
+    for chars, n in ((plain, 15), (" \n\t\xa0'sdlvermt1²aé.-Ab", 20)):
+        for _ in range(2000):
+            text = "".join(draw.choices(chars, k=n))
+            assert memoryview(mine.ids(text)).cast("I").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_counts_equal_the_library(docs, rows):
     from tokenizers import Tokenizer
 
