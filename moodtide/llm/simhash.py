@@ -18,7 +18,7 @@ shingle have one shingle of all their words. Repeated rows and ids get equal res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -99,18 +99,29 @@ def links(prints: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> Da
     return found.distinct()
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, distance: int, group: int, keep: list[str]) -> DataFrame:
-    """__doc, __fp, __component, __first and __keep_<c> for each kept column: names that columns of docs can't clash with."""
-    kept = [F.col(f"`{c}`").alias(f"__keep_{c}") for c in keep]
-    printed = materialise(docs.select(F.col(doc_id).alias("__doc"), *kept, fingerprint(F.col(text), shingle).alias("__fp")))
+def grouped(printed: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """printed with __component and __first. Rows of equal __fp are one class; links_of takes the classes `fp` and returns links among them."""
     classes = materialise(printed.groupBy(F.col("__fp").alias("fp")).agg(F.min("__doc").alias("least")))
-    parts = connected_components(links(classes.select("fp"), distance, group))
+    parts = connected_components(links_of(classes.select("fp")))
     linked = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
     least = linked.groupBy("part").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("x"))
     of = materialise(linked.join(least, "part").select(F.col("fp").alias("__fp"), F.col("x.least").alias("__component"), F.col("x.fp").alias("__first")))
     return printed.join(of, "__fp")
 
 
+def first_of_each(found: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each component the row with the smallest __doc, one of those that also share __fp with it, with its kept columns."""
+    first = found.filter((F.col("__fp") == F.col("__first")) & F.col("__doc").eqNullSafe(F.col("__component")))
+    return first.dropDuplicates(["__doc", "__fp"]).select(*(F.col(f"`__keep_{c}`").alias(c) for c in columns))
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, distance: int, group: int, keep: list[str]) -> DataFrame:
+    """__doc, __fp, __component, __first and __keep_<c> for each kept column: names that columns of docs can't clash with."""
+    kept = [F.col(f"`{c}`").alias(f"__keep_{c}") for c in keep]
+    printed = materialise(docs.select(F.col(doc_id).alias("__doc"), *kept, fingerprint(F.col(text), shingle).alias("__fp")))
+    return grouped(printed, lambda classes: links(classes, distance, group))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, fp (long), component_id (the smallest doc_id that links lead to; null only if all are) and
     first_fp (the fingerprint of the row that has it), and the columns named by keep but those with one of these names."""
@@ -122,9 +133,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its own columns. Of rows that also
     share id and fingerprint with it one stays."""
-    found = _grouped(docs, doc_id, text, shingle, distance, group, docs.columns)
-    first = found.filter((F.col("__fp") == F.col("__first")) & F.col("__doc").eqNullSafe(F.col("__component")))
-    return first.dropDuplicates(["__doc", "__fp"]).select(*(F.col(f"`__keep_{c}`").alias(c) for c in docs.columns))
+    return first_of_each(_grouped(docs, doc_id, text, shingle, distance, group, docs.columns), docs.columns)
 
 
 def op3_simhash_near_dedup(spark, sf_dir):

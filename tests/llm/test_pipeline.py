@@ -51,3 +51,52 @@ def test_stages_do_what_brute_force_does(stages):
 def test_run_equals_the_stages(spark, stages):
     key = lambda df: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[-1])
+
+
+def test_near_dedup_takes_five_words_and_similarity(spark):
+    """Near copies beyond three bits go, texts within three bits but below 0.8 stay."""
+    import numpy as np
+    from moodtide.llm.simhash import fingerprint_of
+
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(40):
+        one = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(30, 400))]
+        texts.append(one)
+        for _ in range(rng.integers(0, 5)):
+            two = list(one)
+            for at in rng.choice(len(two), max(1, int(len(two) * rng.uniform(0, 0.04))), replace=False):
+                two[at] = "changed"
+            texts.append(two)
+    texts += [[], [], ["a", "b"], ["a", "b"], ["a"], texts[0]]
+    order = rng.permutation(len(texts))
+    rows = [(i, " ".join(texts[k]) or None, 7) for i, k in enumerate(order.tolist())]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t, _ in rows]
+    label = list(range(len(rows)))
+    far = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                far += (fingerprint_of(rows[a][1]) ^ fingerprint_of(rows[b][1])).bit_count() > 3
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert far > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int").repartition(3)
+    for df in (docs, docs.union(docs)):
+        got = corpus_pipeline.simhash_near_dedup(spark, df, SF)
+        assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(label))
+    assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_copies_in_a_list():
+    import numpy as np
+    from moodtide.llm import copies
+
+    rng = np.random.default_rng(22)
+    base = rng.integers(0, 10**9, 300)
+    sets = [np.unique(np.where(rng.random(300) < 0.06, rng.integers(0, 10**9, 300), base)).astype(np.uint64) for _ in range(30)]
+    near = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    label = copies.linked(sets, np.zeros(30, int))
+    assert all(label[i] == label[j] for i in range(30) for j in range(i) if near(sets[i], sets[j]))
+    sides = copies.linked(sets[:2], np.array([1, 1]))
+    assert sides.tolist() == [0, 1]
