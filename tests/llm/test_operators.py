@@ -342,6 +342,29 @@ def test_copies_by_the_hundred_link_to_the_ones_before(spark):
     assert all((r.passage_start, r.passage_end) == (0, 120) for r in got)
 
 
+def test_blocks_of_one_repeated_short_line_are_found(spark):
+    rng = np.random.default_rng(15)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    shapes = [(n, period) for n, period in ((55, 5), (55, 7), (80, 7), (110, 11)) for _ in range(15)]
+    rows = []
+    for n, period in shapes:
+        block = (fresh(period) * n)[:n]
+        rows += [fresh(60) + block + fresh(60), fresh(80) + block + fresh(40)]
+    got = substrings.repeated_passages(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.doc_id, set()).update(range(r.passage_start, r.passage_end))
+    lost = Counter(shape for k, shape in enumerate(shapes) if len(found.get(2 * k + 1, set()) & set(range(80, 80 + shape[0]))) < 50)
+    assert not lost, lost
+
+
+def test_a_run_of_one_seed_is_thinned_by_distance():
+    for period in range(1, 12):
+        words = np.tile(np.arange(period, dtype=np.uint32) + 7, 40)
+        at, _ = substrings.minimizers(words, np.array([len(words)]))
+        assert np.diff(at).max() < substrings.WINDOW + period and len(at) <= len(words) // substrings.WINDOW + 1
+
+
 @pytest.mark.parametrize("links", [1, 2, 3])
 def test_matches_cross_the_borders_of_tasks(spark, links):
     rng = np.random.default_rng(14)
