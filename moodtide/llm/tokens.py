@@ -1,6 +1,7 @@
 """Token counts and token ids of whole texts by public tokenizer files.
 
-Texts go through Arrow functions in blocks balanced by bytes. A tokenizer splits a text into pieces before
+Texts go through Arrow functions one at a time; blocks balanced by bytes are formed among the missing pieces of one text, not
+among texts, and Spark alone bounds an Arrow batch. A tokenizer splits a text into pieces before
 it merges characters, and it encodes each piece alone; so a piece that was encoded once need not be
 encoded again. Each Python worker keeps a bounded table from piece to ids; what is missing from it is encoded
 by the library in batches. Texts in which the split could depend on the library's Unicode tables (anything beyond
