@@ -366,19 +366,119 @@ def test_a_run_of_one_seed_is_thinned_by_distance():
 
 
 @pytest.mark.parametrize("links", [1, 2, 3])
-def test_matches_cross_the_borders_of_tasks(spark, links):
+@pytest.mark.parametrize("rung", [0, 1])
+def test_matches_cross_the_borders_of_tasks(spark, links, rung):
     rng = np.random.default_rng(14)
-    rows = sorted({(int(a), int(b), int(c)) for a, b, c in zip(rng.integers(0, 6, 80), rng.integers(0, 9, 80), rng.integers(0, 3, 80))})
-    want = {(*rows[i][1:], *rows[i - d][1:]) for i in range(len(rows)) for d in range(1, links + 1) if i >= d and rows[i][0] == rows[i - d][0]}
-    posts = spark.createDataFrame(rows, "seed long, doc long, pos int")
+    rows = sorted({(*(int(x) for x in rng.integers(0, (6, 2, 9, 3))),) for _ in range(90)})
+    rows = sorted((a, b if rung else 0, c, d) for a, b, c, d in rows)
+    rows = list(dict.fromkeys(rows))
+    same = lambda x, y: x[: rung + 1] == y[: rung + 1]
+    want = {(*rows[i][2:], *rows[i - d][2:]) for i in range(len(rows)) for d in range(1, links + 1) if i >= d and same(rows[i], rows[i - d])}
+    posts = spark.createDataFrame(rows, "seed long, near int, doc long, pos int").withColumn("wide", F.lit(0))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "40")
     try:
-        got = substrings.matches(posts, links).collect()
+        pairs, heads = substrings.class_matches(posts, rung, links)
+        got, first = pairs.collect(), {(r.seed, r.near, r.doc, r.pos) for r in heads.collect()}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert {(r.doc, r.pos, r.prev, r.prev_pos) for r in got} == want
+    if rung:
+        seeds = Counter(r[0] for r in rows)
+        assert first >= {r for i, r in enumerate(rows) if seeds[r[0]] > 1 and (i == 0 or not same(r, rows[i - 1]))}
+
+
+def spans_of(got):
+    out: dict = {}
+    for r in got:
+        out.setdefault(r.doc_id, set()).update(range(r.passage_start, r.passage_end))
+    return out
+
+
+def earlier_copies(texts, size):
+    """By document, the word places inside runs of `size` words that also start at an earlier place: brute force."""
+    seen, out = set(), {}
+    for d, words in enumerate(texts):
+        for p in range(len(words) - size + 1):
+            run = tuple(words[p : p + size])
+            if run in seen:
+                out.setdefault(d, set()).update(range(p, p + size))
+            seen.add(run)
+    return out
+
+
+@pytest.mark.parametrize("piece", [17, 19, 25, 37])
+def test_pieces_in_other_documents_do_not_hide_a_copy(spark, piece):
+    rng = np.random.default_rng(31)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage = fresh(200)
+    pieces = [fresh(40) + passage[a : a + piece] + fresh(40) for a in rng.integers(0, 200 - piece, 80)]
+    rows = [*pieces[:20], fresh(20) + passage + fresh(20), *pieces[20:], fresh(30) + passage + fresh(30)]
+    got = spans_of(substrings.repeated_passages(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")).collect())
+    assert got[81] >= set(range(30, 230)) and not got[81] - set(range(25, 235))
+
+
+def test_exact_repeats_in_boilerplate_are_found_as_by_brute_force(spark):
+    rng = np.random.default_rng(32)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    lines = [fresh(int(n)) for n in rng.integers(8, 40, 60)]
+    passages = [sum((lines[k] for k in rng.integers(0, 60, 4)), []) for _ in range(15)] + [fresh(int(n)) for n in rng.integers(50, 200, 15)]
+    texts = []
+    for _ in range(300):
+        parts = [fresh(int(rng.integers(5, 60))) for _ in range(int(rng.integers(1, 4)))]
+        parts += [lines[k] for k in rng.integers(0, 60, rng.integers(0, 4))] + ([passages[rng.integers(30)]] if rng.random() < 0.4 else [])
+        texts.append(sum((parts[k] for k in rng.permutation(len(parts))), []))
+    got = spans_of(substrings.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect())
+    want = earlier_copies(texts, 50)
+    asked = sum(len(v) for v in want.values())
+    assert sum(len(v & got.get(d, set())) for d, v in want.items()) >= 0.995 * asked, asked
+    sure = earlier_copies(texts, 50 + substrings.WINDOW)
+    assert all(got.get(d, set()) & v for d, v in sure.items())
+    # what is reported beyond that has earlier copies of a fragment's least length, but for words between them
+    loose = earlier_copies(texts, 8)
+    extra = sum(len(v - loose.get(d, set())) for d, v in got.items())
+    assert extra <= 0.02 * sum(len(v) for v in got.values()), extra
+
+
+def test_fuzzy_copies_in_boilerplate_are_found(spark):
+    rng = np.random.default_rng(33)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passages = [fresh(int(n)) for n in rng.integers(80, 250, 25)]
+    rows, planted = [], {}
+    for i in range(250):
+        p, fuzzy = passages[i % 25], []
+        for w in p:  # an edit in 100 words, so one in 50 between two copies: nine of ten shingles agree
+            u = rng.random() * 100
+            fuzzy += [] if u < 0.33 else [w, "more"] if u < 0.66 else ["other"] if u < 1 else [w]
+        before = fresh(int(rng.integers(5, 80)))
+        if i >= 25:
+            planted[i] = set(range(len(before), len(before) + len(fuzzy)))
+        rows.append(before + fuzzy + fresh(30))
+    got = spans_of(substrings.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")).collect())
+    assert np.mean([len(v & got.get(i, set())) >= 0.8 * len(v) for i, v in planted.items()]) >= 0.99
+    assert sum(len(v - planted.get(i, set())) for i, v in got.items()) <= 0.03 * sum(len(v) for v in got.values())
+
+
+def test_passages_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(34)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    one, two = fresh(70), fresh(90)
+    rows = [(None, one), (7, two), (7, fresh(40) + " " + one), (7, two), (9, two), (-5, fresh(30)), (1 << 40, fresh(8) + " " + one), (None, None), (3, "")]
+    got = spans_of(substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {7: set(range(40, 110)), 9: set(range(90)), 1 << 40: set(range(8, 78))}
+    wide = spark.createDataFrame([(-(1 << 62), one), ((1 << 62) + 5, one), (0, two)], "doc_id long, text string")
+    assert set(spans_of(substrings.repeated_passages(wide).collect())) == {(1 << 62) + 5}
+    with pytest.raises(ValueError):
+        substrings.repeated_passages(spark.createDataFrame([("a", one)], "doc_id string, text string"))
+
+
+def test_very_long_texts_have_passages(spark):
+    rng = np.random.default_rng(35)
+    long = [f"w{x}" for x in rng.integers(0, 10**9, 60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["x"] + long[100:50_100]))]
+    got = spans_of(substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {2: set(range(1, 50_001))}
 
 
 def test_chaining_is_optimal_on_small_cases():
