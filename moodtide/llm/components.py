@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_materialised, materialise
 
+#: Into how many parts the rows of one key are dealt at most.
+PARTS = 64
+
+
+def joined_by_parts(rows: DataFrame, values: DataFrame, key: str, spread: Column) -> DataFrame:
+    """rows joined with values, which has one row per key, without bringing all rows of a key together: they are dealt into parts by a hash of
+    `spread`, and the key's value goes to each of its parts, of which it has PARTS or as many as rows."""
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int"))
+    parts = dealt.select(key, "__part").distinct().join(values, key)
+    return dealt.join(parts, [key, "__part"]).drop("__part")
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its smallest node) for every node of a link; links go both ways, loops count as nodes.
 
     Alternates large-star and small-star (Kiveris et al., 2014) until no link changes. Every round links each
-    node to the least of its neighbours, by an aggregate with partial sums and a join whose skewed side Spark can split; the
+    node to the least of its neighbours, by an aggregate with partial sums and a join that deals the neighbours of a node into parts; the
     number of links never grows, and rounds grow with the logarithm of the number of nodes. Each round's links are written to the shared folder.
     """
     spark: SparkSession = links.sparkSession
@@ -24,10 +35,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = None
     while True:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("k", "m").alias("m"))
-        large = both.join(least, u == F.col("k")).filter(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(least, u == F.col("k")).select(F.when(v == F.col("m"), u).otherwise(v).alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = joined_by_parts(both, least, "u", v).filter(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = joined_by_parts(large, least, "u", v).select(F.when(v == F.col("m"), u).otherwise(v).alias("u"), F.col("m").alias("v")).distinct()
         after = materialise(small)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_materialised(now)

@@ -11,7 +11,7 @@ each block returns a count and one link per entry instead of pairs. A pair that
 first. Bucket numbers have 32 bits; where two tuples fall on one number, the bucket only gets longer. Nothing is capped.
 
 Rows link only if labels are equal and not null and dimensions agree. Vectors that are null, empty, zero or hold
-null or non-finite components link with nothing. Repeated rows are vectors like others. An empty table gives no rows.
+null or non-finite components link with nothing; the largest and smallest finite ones are like others. Repeated rows are vectors like others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .blocks import labels_of, list_starts, units, whole_lists
 from .common import materialise
-from .components import connected_components
+from .components import connected_components, joined_by_parts
 
 THRESHOLD = 0.93
 TABLES, PROJECTIONS, WIDTH, SEED = 40, 12, 1.5, 5
@@ -48,7 +48,9 @@ def bucket_numbers(unit: np.ndarray, tables: int = TABLES, projections: int = PR
 
 
 def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component is divided out first, so that squares neither overflow nor vanish."""
     v = vectors.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
@@ -115,7 +117,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     parts = connected_components(found.filter("a != b").select("a", "b")).withColumnRenamed("node", "cls")
     linked = classes.select("cls", "__label", "__vector", "least", "n").join(parts, "cls", "left").join(direct, "cls", "left").withColumn("part", F.coalesce("component", "cls"))
     leasts = linked.groupBy("part").agg(F.min("least").alias("component_id"))
-    of = materialise(linked.join(leasts, "part").select("__label", "__vector", (F.col("n") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links"), "component_id"))
+    of = materialise(joined_by_parts(linked, leasts, "part", F.col("cls")).select("__label", "__vector", (F.col("n") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links"), "component_id"))
     # rows that cannot link keep their null or odd vectors out of the join
     key = F.when(valid, F.struct("__label", "__vector"))
     return (

@@ -314,6 +314,18 @@ def test_embedding_links_and_recall(spark, monkeypatch, block):
     assert got[120].component_id == got[121].component_id == got[122].component_id == got[0].component_id
 
 
+def test_vectors_of_extreme_components(spark):
+    rng = np.random.default_rng(19)
+    base = rng.normal(size=(4, 16))
+    rows = [(base[0] * 1e200).tolist(), ((base[0] + 0.01) * 1e200).tolist(), (base[0] * 1e-200).tolist(), np.abs(base[1] * 1e-200).tolist(), np.abs(base[2][::-1] * 1e-200).tolist(), base[3].tolist(), (base[3] * 5e-324 / np.abs(base[3]).min()).tolist(), [1e-310] + [0.0] * 15, [1e308] + [0.0] * 15]
+    unit = [np.array(v) / np.abs(v).max() for v in rows]
+    unit = [v / np.linalg.norm(v) for v in unit]
+    want = [sum(i != j and a @ b >= 0.93 for j, b in enumerate(unit)) for i, a in enumerate(unit)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    assert [r.n_links for r in embeddings.near_duplicates(df).orderBy("vec_id").collect()] == want
+    assert want[:3] == [2, 2, 2] and want[7:] == [1, 1]
+
+
 def test_passages_are_found_and_others_left(spark):
     rng = np.random.default_rng(10)
     fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
