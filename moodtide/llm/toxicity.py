@@ -1,20 +1,19 @@
 """Toxicity by weak supervision.
 
-Voters are a lexicon of insults, lexicons induced from labelled documents, and patterns. Each voter fires or
-not, so a document's votes are one integer. A generative label model explains how often each combination of votes and
-(where shown) label occurs: a two-class mixture whose voters have their own accuracies, estimated by
-expectation maximisation. It is shown the labels of half the documents it is fitted on and infers the others. Voters that agree more within a class than independence allows
-share their weight: each counts 1 / (1 + the sum of its positive within-class correlations). There are at most
-2^MAX_VOTERS combinations, so their counts are small whatever the number of documents.
-
-The model's posterior labels, in which the given label counts as one more voter that is rarely wrong, then
-train a logistic regression over features of the text: presence of words and of words' starts that are associated with the posterior. The classifier sees words only, so it also scores documents on which no
-voter fires. Features, label model and classifier are fitted on at most `max_fit` labelled documents, those with the smallest hash of their id;
-every text is scored, whole.
+Voters are fixed lexicons of insults, patterns, and lexicons induced from labelled documents: features that go with toxic labels, in
+families of one start. Each voter fires or not, so a document's votes are one integer. A generative label model explains the votes: within either class each voter fires with its own probability given
+what one other voter does, the one it depends on most; so accuracies and pairwise correlations (a tree of the largest conditional mutual information) are parameters
+of the model. Expectation maximisation fits them on labelled and unlabelled documents together: labels are shown for those that have them, the others are inferred.
+
+A document's posterior label comes from its votes alone, labelled or not. These posteriors train a logistic regression over features of the text: presence of words and of words' starts
+that go with the posteriors, and the votes. Most features are words, so it also tells documents apart on which no voter fires. Labels thus calibrate the voters; what the classifier learns passes through the label model.
+
+Voters, label model and classifier are fitted on about `max_fit` labelled and `max_more` further documents at most, chosen by a hash of their id, of several texts under one id that with the least
+hash; held-out documents are not among them. Every text is scored, whole.
 
 Null and empty texts have no features and get the classifier's intercept as score. Labels of other values than 0
-and 1 and null labels count as unlabelled. Repeated labels of one id count once (the largest). Without any labels all
-scores are the prior that the voters give. An empty table gives no rows.
+and 1 and null labels count as unlabelled. Repeated labels of one id count once (the largest). Rows with null ids are scored and not learned from. Without labels of both classes all
+scores are the share of toxic labels (of one in two where there are none). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,31 +23,31 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise
 
-#: Insults and abuse in English.
-INSULTS = (
-    "bastard", "clown", "coward", "creep", "cretin", "degenerate", "despicable", "dimwit", "disgrace", "disgusting", "dumb", "dunce",
-    "filth", "filthy", "fool", "foolish", "freak", "garbage", "hate", "idiot", "idiotic", "idiots", "ignorant", "imbecile", "jerk",
-    "kill", "liar", "loathsome", "loser", "losers", "lunatic", "maggot", "miserable", "moron", "moronic", "morons", "nasty",
-    "parasite", "pathetic", "pig", "pigs", "psycho", "rat", "repulsive", "revolting", "rotten", "scoundrel", "scum", "shameful", "sick", "sleazy",
-    "slime", "stupid", "sucker", "swine", "thug", "traitor", "trash", "twisted", "ugly", "useless", "vermin", "vile", "weak", "worthless", "wretch",
+#: Insults and abuse in English, by what they aim at.
+LEXICONS = (
+    ("clown", "cretin", "dimwit", "dumb", "dunce", "fool", "foolish", "idiot", "idiotic", "idiots", "ignorant", "imbecile", "moron", "moronic", "morons", "stupid"),
+    ("disgusting", "filth", "filthy", "garbage", "loathsome", "maggot", "parasite", "pig", "pigs", "rat", "repulsive", "revolting", "rotten", "scum", "slime", "swine", "trash", "vermin"),
+    ("disgrace", "loser", "losers", "miserable", "pathetic", "shameful", "sucker", "ugly", "useless", "weak", "worthless", "wretch"),
+    ("bastard", "coward", "creep", "degenerate", "despicable", "freak", "hate", "jerk", "kill", "liar", "lunatic", "nasty", "psycho", "scoundrel", "sick", "sleazy", "thug", "traitor", "twisted", "vile"),
 )
-_INSULTS = frozenset(INSULTS)
-MAX_VOTERS = 12
-MAX_FIT = 20_000
+_INSULTS = frozenset().union(*LEXICONS)
+#: Induced families (three voters each; all voters fit a 63-bit integer) and the length of the start they share.
+FAMILIES, FAMILY_START = 13, 4
+MAX_FIT, MAX_MORE = 20_000, 10_000
 STARTS = (4, 5, 6, 7)
 N_FEATURES = 3000
-#: How often a given label is taken to be right; votes move posteriors between 0.01 and 0.99 before it.
-LABEL_RIGHT = 0.9995
+#: Penalty of squared weights and the most steps of the classifier's fit.
+RIDGE, STEPS = 1e-4, 80
 _WORD = regex.compile(r"[^\W\d_]+")
+_ADDRESS = regex.compile(r"\byou(?:'re| are)? (?:an? )?\p{L}+")
 
 
 def words_of(text: str | None) -> Counter:
@@ -73,31 +72,30 @@ def strength(n: int) -> float:
 
 
 def term_table(texts: DataFrame) -> DataFrame:
-    """One row per document and feature: doc, y, term, n."""
+    """One row per document and feature: doc, term, n."""
 
     def explode(batches):
         for b in batches:
-            docs, ys, terms, counts = [], [], [], []
-            for d, y, t in zip(b.column(0), b.column(1), b.column(2)):
+            rows, terms, counts = [], [], []
+            for i, t in enumerate(b.column(1)):
                 f = features_of(words_of(t.as_py()))
-                docs += [d] * len(f)
-                ys += [y.as_py()] * len(f)
+                rows += [i] * len(f)
                 terms += f.keys()
                 counts += f.values()
-            yield pa.RecordBatch.from_arrays([pa.array(docs, b.column(0).type), pa.array(ys, pa.int32()), pa.array(terms, pa.string()), pa.array(counts, pa.int32())], names=["doc", "y", "term", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), pa.array(terms, pa.string()), pa.array(counts, pa.int32())], names=["doc", "term", "n"])
 
     kind = texts.schema["doc"].dataType.simpleString()
-    return texts.select("doc", F.col("y").cast("int"), "text").mapInArrow(explode, f"doc {kind}, y int, term string, n int")
+    return texts.select("doc", "text").mapInArrow(explode, f"doc {kind}, term string, n int")
 
 
-def associated(terms: DataFrame, n_toxic: int, n_clean: int, limit: int) -> list[tuple[str, float]]:
-    """The features whose presence goes with toxic labels, strongest first, with their log odds: a report of
+def associated(terms: DataFrame, n_toxic: float, n_clean: float, limit: int) -> list[tuple[str, float]]:
+    """The features whose presence goes with toxicity (`y`, from 0 to 1), strongest first, with their log odds: a report of
     bounded length. Ties by the feature's text."""
-    a, b = F.sum(F.col("y")).cast("double"), F.sum(1 - F.col("y")).cast("double")
-    counted = terms.groupBy("term").agg(a.alias("a"), b.alias("b")).filter("a + b >= 5")
+    y = F.col("y").cast("double")
+    counted = terms.groupBy("term").agg(F.sum(y).alias("a"), F.sum(1 - y).alias("b")).filter("a + b >= 5")
     odds = F.log((F.col("a") + 0.5) / (n_toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n_clean - F.col("b") + 0.5))
     share = (F.col("a") + F.col("b")) / (n_toxic + n_clean)
-    z = (F.col("a") - share * n_toxic) / F.sqrt(share * n_toxic + 1e-9)
+    z = F.round((F.col("a") - share * n_toxic) / F.sqrt(share * n_toxic + 1e-9), 6)
     top = counted.withColumn("odds", odds).withColumn("z", z).filter("z > 2").orderBy(F.desc("z"), "term").limit(limit)
     return [(r.term, float(r.odds)) for r in top.select("term", "odds").collect()]
 
@@ -107,73 +105,183 @@ class Voters:
 
     def __init__(self, induced: list[tuple[str, float]]):
         strong = [t for t, o in induced if o > 2]
-        self.lexicons = [frozenset(strong[:25]), frozenset(strong[25:100]), frozenset(strong[100:400]), frozenset(t for t, o in induced if 1 < o <= 2)]
-
-    def vote(self, text: str | None) -> int:
-        words = words_of(text)
-        insults = sum(n for w, n in words.items() if w in _INSULTS)
-        features = features_of(words)
-        hits = [sum(n for f, n in features.items() if f in lex) for lex in self.lexicons]
+        self.tiers = [frozenset(strong[:25]), frozenset(strong[25:100]), frozenset(strong[100:400]), frozenset(t for t, o in induced if 1 < o <= 2)]
+        starts = list(dict.fromkeys(t.rstrip("|")[:FAMILY_START] for t in strong if len(t) >= FAMILY_START))[:FAMILIES]
+        self.family = {start: i for i, start in enumerate(starts)}
+        self.members = frozenset(strong)
+        self.n = 2 * len(LEXICONS) + 14 + 3 * FAMILIES
+        self.known: dict[str, tuple[int, tuple[int, ...], int]] = {}
+
+    def look_up(self, w: str) -> tuple[int, tuple[int, ...], int]:
+        """The word's lexicon and family (-1: none) and how many of its features are in each tier."""
+        found = self.known.get(w)
+        if found is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            features = features_of(Counter([w]))
+            lexicon = next((i for i, words in enumerate(LEXICONS) if w in words), -1)
+            family = self.family.get(w[:FAMILY_START], -1) if any(f in self.members for f in features) else -1
+            found = self.known[w] = (lexicon, tuple(sum(f in tier for f in features) for tier in self.tiers), family)
+        return found
+
+    def vote(self, text: str | None, words: Counter | None = None) -> int:
         raw = text or ""
+        words = words_of(text) if words is None else words
+        by_lexicon, tier = [0] * len(LEXICONS), [0] * len(self.tiers)
+        family, kinds = [0] * FAMILIES, [0] * FAMILIES
+        for w, n in words.items():
+            lexicon, tiers, i = self.look_up(w)
+            if lexicon >= 0:
+                by_lexicon[lexicon] += n
+            if any(tiers):
+                tier = [a + n * b for a, b in zip(tier, tiers)]
+            if i >= 0:
+                family[i] += n
+                kinds[i] += 1
+        insults, total = sum(by_lexicon), sum(words.values())
         shouted = sum(w.isupper() and len(w) > 3 for w in raw.split())
-        fired = [insults >= 1, insults >= 3, hits[0] >= 1, hits[0] >= 4, hits[1] >= 2, hits[1] >= 6, hits[2] >= 4, hits[3] >= 6, shouted >= 5, raw.count("!") >= 5, bool(regex.search(r"\byou(?:'re| are)? (?:an? )?\p{L}+", raw.lower())) and insults > 0]
+        fired = [
+            *(n >= 1 for n in by_lexicon), *(n >= 2 for n in by_lexicon),
+            insults >= 1, insults >= 3, insults >= 6, 50 * insults > total,
+            tier[0] >= 1, tier[0] >= 4, tier[1] >= 2, tier[1] >= 6, tier[2] >= 4, tier[3] >= 6,
+            sum(n > 0 for n in by_lexicon) >= 3, shouted >= 5, raw.count("!") >= 5, insults > 0 and bool(_ADDRESS.search(raw.lower())),
+            *(n > 0 for n in family), *(n >= 2 for n in kinds), *(n >= 2 and 50 * n > total for n in family),
+        ]
         return sum(1 << i for i, x in enumerate(fired) if x)
 
 
-def fit_label_model(counts: dict[tuple[int, int | None], int], n_voters: int = MAX_VOTERS, rounds: int = 200) -> dict:
-    """counts: how often each (votes, label or None) occurs. Returns prior, rates per class, weights and correlations."""
+def dependencies(votes: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """For each voter the voter it depends on (-1: none): the tree of the largest mutual information within classes.
+    votes: rows of 0 and 1; mass: weight of each row in either class."""
+    v = votes.shape[1]
+    total = mass.sum()
+    info = np.zeros((v, v))
+    for m in mass:
+        both = (votes * m[:, None]).T @ votes + 0.25
+        one = np.diag(both) + 0.25
+        n = m.sum() + 1
+        cells = [both, one[:, None] - both, one[None, :] - both, n - one[:, None] - one[None, :] + both]
+        sides = [(one, one), (one, n - one), (n - one, one), (n - one, n - one)]
+        for cell, (a, b) in zip(cells, sides):
+            cell = np.maximum(cell, 1e-9)
+            info += cell / total * np.log(cell * n / np.outer(a, b))
+    parent, best = np.full(v, -1), info[0].copy() if v else info
+    inside = np.zeros(v, bool)
+    source = np.zeros(v, int)
+    for k in range(v):
+        i = 0 if k == 0 else int(np.argmax(np.where(inside, -np.inf, best)))
+        inside[i] = True
+        if k and best[i] > 1e-3:
+            parent[i] = source[i]
+        better = info[i] > best
+        if k == 0:
+            better[:] = True
+        best, source = np.where(better, info[i], best), np.where(better, i, source)
+    return parent
+
+
+def tables_of(votes: np.ndarray, mass: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """P(voter fires | class, what its parent does): [class, parent's vote, voter], drawn towards the voter's rate in the class."""
+    up = np.where(parent >= 0, votes[:, parent], 0)
+    rate = (mass @ votes + 0.5) / (mass.sum(axis=1, keepdims=True) + 1)
+    out = np.empty((2, 2, votes.shape[1]))
+    for y in (0, 1):
+        for u in (0, 1):
+            w = mass[y][:, None] * (up == u)
+            out[y, u] = ((w * votes).sum(axis=0) + 2 * rate[y]) / (w.sum(axis=0) + 2)
+    return out
+
+
+def posterior(votes: np.ndarray, model: dict) -> np.ndarray:
+    """P(toxic | votes) of each row of votes."""
+    parent, table = model["parent"], model["table"]
+    up = np.where(parent >= 0, votes[:, parent], 0).astype(int)
+    at = np.arange(votes.shape[1])
+    log = [np.where(votes > 0, np.log(table[y][up, at]), np.log(1 - table[y][up, at])).sum(axis=1) for y in (0, 1)]
+    odds = math.log(model["prior"] / (1 - model["prior"])) + log[1] - log[0]
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def bits(codes: list[int], n_voters: int) -> np.ndarray:
+    return np.array([[c >> i & 1 for i in range(n_voters)] for c in codes], float).reshape(len(codes), n_voters)
+
+
+def fit_label_model(counts: dict[tuple[int, int | None], int], n_voters: int, rounds: int = 100) -> dict:
+    """counts: how often each (votes, label or None) occurs. Returns prior, parent and table."""
     keys = list(counts)
-    votes = np.array([[k[0] >> i & 1 for i in range(n_voters)] for k in keys], float).reshape(len(keys), n_voters)
+    votes = bits([k[0] for k in keys], n_voters)
     n = np.array([counts[k] for k in keys], float)
     known = np.array([np.nan if k[1] is None else k[1] for k in keys], float)
-    p = np.where(np.isnan(known), 1 / (1 + np.exp(2 - votes.sum(axis=1))), known) if len(keys) else known
-    weight = np.ones(n_voters)
-    rho = np.zeros((n_voters, n_voters))
-    rates, prior = np.full((2, n_voters), 0.5), 0.5
+    open_ = np.isnan(known)
+    # labelled rows start the fit; without any, the number of votes does
+    seen = np.where(open_, 0.0 if (~open_).any() else 1.0, 1.0)
+    p = np.where(open_, 1 / (1 + np.exp(2 - votes.sum(axis=1))), known)
+    model = {"prior": 0.5, "parent": np.full(n_voters, -1), "table": np.full((2, 2, n_voters), 0.5)}
     for r in range(rounds if len(keys) else 0):
-        mass = np.array([n * (1 - p), n * p])
-        prior = (mass[1].sum() + 1) / (n.sum() + 2)
-        rates = (mass @ votes + 0.5) / (mass.sum(axis=1, keepdims=True) + 1)
-        if r % 10 == 0:
-            within = np.zeros((n_voters, n_voters))
-            for y in (0, 1):
-                c = votes - rates[y]
-                within += (c * mass[y][:, None]).T @ c
-            sd = np.sqrt(np.diag(within)) + 1e-9
-            rho = within / np.outer(sd, sd)
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.maximum(rho, 0).sum(axis=1))
-        new = np.where(np.isnan(known), posterior(votes, prior, rates, weight), known)
-        done = np.abs(new - p).max() < 1e-7
-        p = new
+        mass = np.array([n * seen * (1 - p), n * seen * p])
+        parent = dependencies(votes, mass) if r % 5 == 0 else model["parent"]
+        model = {"prior": (mass[1].sum() + 1) / (mass.sum() + 2), "parent": parent, "table": tables_of(votes, mass, parent)}
+        new = np.where(open_, posterior(votes, model), known)
+        done = r > 5 and np.abs(new - p).max() < 1e-6
+        p, seen = new, np.ones(len(keys))
         if done:
             break
-    return {"prior": prior, "rates": rates, "weight": weight, "correlation": rho}
-
-
-def posterior(votes: np.ndarray, prior: float, rates: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    on, off = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-    return 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + (weight * np.where(votes > 0, on, off)).sum(axis=1))))
-
-
-def posterior_column(votes: Column, model: dict) -> Column:
-    odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for i, w in enumerate(model["weight"]):
-        on, off = (float(w * math.log(a / b)) for a, b in ((model["rates"][1][i], model["rates"][0][i]), (1 - model["rates"][1][i], 1 - model["rates"][0][i])))
-        odds = odds + F.when(votes.bitwiseAND(1 << i) != 0, on).otherwise(off)
-    return 1 / (1 + F.exp(-odds))
+    return model
+
+
+def fit_weights(at: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Weights of a logistic regression with soft labels y, the intercept last, by limited-memory quasi-Newton steps.
+    Row at[k] has value[k] in feature index[k]."""
+    n = len(y)
+
+    def loss(w):
+        z = np.bincount(at, value * w[index], n) + w[-1]
+        r = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
+        g = np.r_[np.bincount(index, value * r[at], size), r.sum()] / n
+        g[:-1] += RIDGE * w[:-1]
+        return (np.logaddexp(0, z) - y * z).mean() + RIDGE / 2 * (w[:-1] @ w[:-1]), g
+
+    w = np.zeros(size + 1)
+    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    w[-1] = math.log(share / (1 - share))
+    f, g = loss(w)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(STEPS):
+        d, alphas = -g, []
+        for s, t, rho in reversed(pairs):
+            alphas.append(rho * (s @ d))
+            d = d - alphas[-1] * t
+        if pairs:
+            s, t, _ = pairs[-1]
+            d = d * ((s @ t) / (t @ t))
+        for (s, t, rho), a in zip(pairs, reversed(alphas)):
+            d = d + (a - rho * (t @ d)) * s
+        step, slope = 1.0, g @ d
+        while step > 1e-10:
+            f2, g2 = loss(w + step * d)
+            if f2 <= f + 1e-4 * step * slope:
+                break
+            step /= 2
+        if f - f2 < 1e-9 * max(1, abs(f)):
+            break
+        s, t = step * d, g2 - g
+        if s @ t > 1e-12:
+            pairs = [*pairs[-9:], (s, t, 1 / (s @ t))]
+        w, f, g = w + step * d, f2, g2
+    return w
 
 
 class Classifier:
-    """A logistic regression over presence of features; plain values, so that tasks can carry it."""
+    """A logistic regression over features and votes (named @ and the voter's number); plain values, so that tasks can carry it."""
 
-    def __init__(self, terms: list[str], weights: list[float], intercept: float):
-        self.weights, self.intercept = dict(zip(terms, weights)), intercept
-        self.known: dict[str, list[tuple[str, float]]] = {}
+    def __init__(self, terms: list[str], weights: list[float], intercept: float, voters: Voters | None = None):
+        self.weights, self.intercept, self.voters = dict(zip(terms, weights)), intercept, voters
+        self.known: dict[str, list[str]] = {}
 
     def score(self, text: str | None) -> float:
         found: Counter = Counter()
-        for w, n in words_of(text).items():
+        words = words_of(text)
+        for w, n in words.items():
             parts = self.known.get(w)
             if parts is None:
                 if len(self.known) > 500_000:
@@ -182,6 +290,8 @@ class Classifier:
             for f in parts:
                 found[f] += n
         odds = self.intercept + sum(self.weights[f] * strength(n) for f, n in found.items())
+        votes = self.voters.vote(text, words) if self.voters else 0
+        odds += sum(self.weights.get(f"@{i}", 0.0) * strength(1) for i in range(votes.bit_length()) if votes >> i & 1)
         return 1 / (1 + math.exp(-min(max(odds, -40), 40)))
 
 
@@ -192,43 +302,76 @@ def _per_text(f, kind: pa.DataType):
     return over
 
 
+def fit_classifier(terms: DataFrame, soft: DataFrame, names: list[str], voters: Voters) -> Classifier:
+    """terms: doc, term, n; soft: doc, votes, y (posterior), a bounded number of rows, which one task fits."""
+    names = [*names, *(f"@{i}" for i in range(voters.n))]
+    fired = soft.select("doc", F.explode(F.filter(F.sequence(F.lit(0), F.lit(voters.n - 1)), lambda i: F.col("votes").bitwiseAND(F.pow(F.lit(2.0), i).cast("long")) != 0)).alias("i"))
+    terms = terms.union(fired.select("doc", F.concat(F.lit("@"), "i"), F.lit(1)))
+    listed = terms.sparkSession.createDataFrame(list(enumerate(names)), "i int, term string")  # at most N_FEATURES rows
+    rows = soft.join(terms.join(F.broadcast(listed), "term").select("doc", "i", "n"), "doc", "left")
+    size = len(names)
+
+    def run(batches):
+        table = pa.Table.from_batches(batches)
+        if not table.num_rows:
+            return
+        doc = table.column("doc").combine_chunks()
+        new = np.r_[True, pc.not_equal(doc[1:], doc[:-1]).to_numpy(zero_copy_only=False)]
+        at = np.cumsum(new) - 1
+        i = table.column("i").fill_null(-1).to_numpy()
+        n = table.column("n").fill_null(0).to_numpy()
+        has = i >= 0
+        w = fit_weights(at[has], i[has], np.minimum(3 + n[has], 8) / 4, table.column("y").to_numpy()[new], size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(w)], names=["i", "w"])
+
+    fitted = rows.select("doc", "y", "i", "n").repartition(1).sortWithinPartitions("doc", "i").mapInArrow(run, "i int, w double").collect()  # a row per feature
+    w = [r.w for r in sorted(fitted)]
+    return Classifier(names, w[:-1], w[-1], voters)
+
+
 def fit(texts: DataFrame) -> tuple[Classifier, dict, Voters]:
-    """texts: doc, text, y (1 or 0): a bounded number of labelled rows."""
+    """texts: doc, text, y (1, 0 or null): a bounded number of rows, one per doc."""
     some = materialise(texts)
     n_toxic, n_clean = (int(x or 0) for x in some.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
-    found = associated(term_table(some), n_toxic, n_clean, N_FEATURES)
-    voters = Voters(found)
-    vote = F.arrow_udf(_per_text(voters.vote, pa.int32()), T.IntegerType())
-    some = materialise(some.withColumn("votes", vote("text")))
-    shown = F.when(F.xxhash64(F.lit("shown"), "doc") % 2 == 0, F.col("y"))
-    counts = {(r.votes, r.shown): r.n for r in some.groupBy("votes", shown.alias("shown")).agg(F.count("*").alias("n")).collect()}  # at most 3 * 2^MAX_VOTERS rows
-    model = fit_label_model(counts)
-    names = sorted(t for t, _ in found)
-    place = {t: i for i, t in enumerate(names)}
-    size = max(len(names), 1)
-
-    def vector(text: str | None) -> SparseVector:
-        f = {place[t]: strength(n) for t, n in features_of(words_of(text)).items() if t in place}
-        return SparseVector(size, f)
-
-    soft = some.withColumn("p", posterior_column(F.col("votes"), model))
-    by_votes, right = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("p"))), F.when(F.col("y") == 1, LABEL_RIGHT).otherwise(1 - LABEL_RIGHT)
-    p = by_votes * right / (by_votes * right + (1 - by_votes) * (1 - right))
-    rows = materialise(soft.select(F.udf(vector, VectorUDT())("text").alias("features"), p.alias("p")))
-    both = rows.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("r")).select("features", "r.label", "r.weight")
     if not n_toxic or not n_clean:
-        return Classifier([], [], math.log(model["prior"] / (1 - model["prior"]))), model, voters
-    got = LogisticRegression(weightCol="weight", regParam=1e-4, elasticNetParam=0.0, maxIter=100, standardization=False).fit(both)
-    return Classifier(names, got.coefficients.toArray().tolist(), float(got.intercept)), model, voters
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", max_fit: int = MAX_FIT, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document. held_out is an expression over doc_id; labels of
-    held-out documents are not used."""
-    known = labels.filter(F.col(toxic).isin(0, 1) & ~held_out).groupBy(F.col(doc_id).alias("doc")).agg(F.max(toxic).cast("int").alias("y"))
-    chosen = materialise(known.orderBy(F.xxhash64("doc"), "doc").limit(max_fit))
-    # at most max_fit rows of an id and a label
-    classifier, _, _ = fit(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc"))
+        share = (n_toxic + 1) / (n_toxic + n_clean + 2)
+        return Classifier([], [], math.log(share / (1 - share))), {"prior": share}, Voters([])
+    terms = materialise(term_table(some))
+    labelled = some.filter("y is not null").select("doc", "y")  # bounded by max_fit
+    voters = Voters(associated(terms.join(F.broadcast(labelled), "doc"), n_toxic, n_clean, N_FEATURES))
+    vote = F.arrow_udf(_per_text(voters.vote, pa.int64()), T.LongType())
+    voted = materialise(some.select("doc", "y", vote("text").alias("votes")))
+    counts = {(r.votes, r.y): r.n for r in voted.groupBy("votes", "y").agg(F.count("*").alias("n")).collect()}  # at most as many as sampled rows
+    model = fit_label_model(counts, voters.n)
+    codes = sorted({k[0] for k in counts})
+    known = dict(zip(codes, posterior(bits(codes, voters.n), model).tolist()))
+    soft = voted.join(F.broadcast(texts.sparkSession.createDataFrame(list(known.items()), "votes long, p double")), "votes").select("doc", "votes", F.col("p").alias("y"))
+    soft = materialise(soft)
+    toxic, clean = (float(x) for x in soft.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
+    found = associated(terms.join(F.broadcast(soft.select("doc", "y")), "doc"), toxic, clean, N_FEATURES)
+    return fit_classifier(terms, soft, sorted(t for t, _ in found), voters), model, voters
+
+
+def sampled(ids: DataFrame, most: int, salt: str) -> DataFrame:
+    """About 0.95 * most rows of ids(doc, ...) at most, by a hash of doc: no task has to see the least of all hashes."""
+    n = ids.count()
+    if n <= most:
+        return ids
+    bound = int(0.95 * most / n * (1 << 53))
+    return ids.filter(F.xxhash64(F.lit(salt), "doc").bitwiseAND((1 << 53) - 1) < bound)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", max_fit: int = MAX_FIT, max_more: int = MAX_MORE, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score and predicted for every document. held_out is an expression over doc_id; neither labels nor texts of
+    held-out documents are learned from."""
+    known = labels.filter(F.col(toxic).isin(0, 1) & ~held_out).groupBy(F.col(doc_id).alias("doc")).agg(F.max(toxic).cast("int").alias("y")).filter("doc is not null")
+    more = docs.filter(~held_out).select(F.col(doc_id).alias("doc")).filter("doc is not null").withColumn("y", F.lit(None).cast("int"))
+    both = sampled(materialise(known), max_fit, "labelled").union(sampled(more, max_more, "more"))
+    chosen = materialise(both.groupBy("doc").agg(F.max("y").alias("y")))
+    # at most max_fit + max_more rows of an id and a label
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc")
+    texts = texts.groupBy("doc", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    classifier, _, _ = fit(texts)
     score = F.arrow_udf(_per_text(classifier.score, pa.float64()), T.DoubleType()).asNondeterministic()
     return docs.select(doc_id, held_out.alias("held_out"), score(F.col(text)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

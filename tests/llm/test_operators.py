@@ -528,8 +528,25 @@ def test_label_model_finds_accuracies_and_correlations():
     shown = [int(a) if k % 10 == 0 else None for k, a in enumerate(y)]
     model = toxicity.fit_label_model(dict(Counter(zip(code.tolist(), shown))), 5)
     assert model["prior"] == pytest.approx(0.2, abs=0.03)
-    assert np.abs(model["rates"][1][:4] - [a for a, _ in fire]).max() < 0.06 and np.abs(model["rates"][0][:4] - [b for _, b in fire]).max() < 0.04
-    assert model["correlation"][3, 4] > 0.95 and model["weight"][4] < 0.6 < model["weight"][0]
+    assert {tuple(sorted((i, int(j)))) for i, j in enumerate(model["parent"]) if j >= 0} >= {(3, 4)}
+    pattern = toxicity.bits(list(range(32)), 5)
+    got = toxicity.posterior(pattern, model)
+    for v, p in zip(pattern, got):  # the repeated voter counts once
+        if v[3] == v[4]:
+            odds = np.log(0.25) + sum(np.log(a / b) if x else np.log((1 - a) / (1 - b)) for x, (a, b) in zip(v, fire))
+            assert p == pytest.approx(1 / (1 + np.exp(-odds)), abs=0.1)
+
+
+def test_classifier_reaches_the_optimum():
+    rng = np.random.default_rng(15)
+    n, size = 300, 6
+    x = rng.random((n, size)) * (rng.random((n, size)) < 0.5)
+    y = 1 / (1 + np.exp(-(x @ rng.normal(size=size) * 2 - 0.5)))
+    at, index = np.nonzero(x)
+    w = toxicity.fit_weights(at, index, x[at, index], y, size)
+    z = x @ w[:-1] + w[-1]
+    r = 1 / (1 + np.exp(-z)) - y
+    assert np.abs(np.r_[r @ x / n + toxicity.RIDGE * w[:-1], r.mean()]).max() < 1e-4
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -544,11 +561,35 @@ def test_toxicity_on_held_out_documents(spark):
     assert auc > 0.8 and np.mean([s >= 0.7 for s in neg]) < 0.02
 
 
+def test_toxicity_passes_through_the_label_model(spark, monkeypatch):
+    """Documents of words that only unlabelled documents share with voters' words; without the model's posteriors they are not found."""
+    rng = np.random.default_rng(16)
+    fresh = lambda n: [f"{a}{b}" for a, b in zip(rng.choice(["stone", "river", "cloud", "maple"], n), rng.choice(["a", "b", "c"], n))]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 5 == 0
+        rows.append((i, " ".join(fresh(40) + (["idiot", "moron", "scum"] + ["zorg"] * (i % 2) if toxic else [])), "k"))
+        if i % 4 == 0:
+            labels.append((i, int(toxic)))
+    rows += [(5000 + i, " ".join(fresh(40) + ["zorg"]), "k") for i in range(20)] + [(None, "idiot", "k"), (3, "repeated id", "k"), (6000, "idiot " * 30_000, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    known = spark.createDataFrame([*labels, *labels, (1, None), (7, 5), (None, 1)], "doc_id long, toxic int")
+    held = F.coalesce(F.col("doc_id") >= 5000, F.lit(False))
+    got = toxicity.toxicity(docs, known, held).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    by = {r.doc_id: r.predicted for r in got if r.doc_id is not None and r.doc_id != 3}
+    assert np.mean([by[i] == (i % 5 == 0) for i in range(900) if i != 3]) > 0.99 and by[6000] == 1
+    monkeypatch.setattr(toxicity, "posterior", lambda votes, model: np.full(len(votes), 0.2))
+    flat = toxicity.toxicity(docs, known, held).collect()
+    assert not any(r.predicted for r in flat)
+
+
 def test_toxicity_without_labels_or_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "you stupid idiot")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     scores = [r.score for r in toxicity.toxicity(docs, none, F.lit(False)).collect()]
     assert len(scores) == 3 and all(0 <= s <= 1 for s in scores)
+    assert toxicity.toxicity(docs.limit(0), none, F.lit(False)).count() == 0
 
 
 def test_empty_tables(spark):
