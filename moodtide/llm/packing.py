@@ -4,8 +4,8 @@ Each document is its ids and one separator id. Only documents longer than a sequ
 end, so that all pieces but the first are full. Pieces are dealt evenly over tasks of a bounded number of rows;
 each task packs its pieces by best fit in order of size, then exchanges documents between underfull bins.
 An exchange moves one document, swaps one for a smaller one, or one for two smaller ones, always so that
-the sum of squared fills grows; bins that become empty are saved sequences. Since it grows, the search ends.
-It stops early once no packing of these pieces could take fewer sequences. A task loses less than about one
+the sum of squared fills grows; bins that become empty are saved sequences. Since it grows, the search ends: when a sweep over
+all underfull bins finds no exchange, or once no packing of these pieces could take fewer sequences. A task loses less than about one
 sequence against packing all at once, which is little against the thousands that it fills.
 
 A null text is an empty one: a document of the separator only. Repeated rows are packed as often as they come.
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise
 from .tokens import encoder
@@ -84,7 +85,7 @@ def improve(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndarray:
         size, own = sizes[docs], where[docs]
         first, second = pairs_in_bins(own, size)
         both = size[first] + size[second]
-        emptied = 0
+        exchanges = 0
         for s in under[np.argsort(fill[under], kind="stable")].tolist():
             for a in sorted(np.flatnonzero(own == s).tolist(), key=lambda i: -size[i]):
                 n = size[a]
@@ -96,6 +97,7 @@ def improve(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndarray:
                     own[a] = t
                     fill[t] += n
                     fill[s] -= n
+                    exchanges += 1
                     continue
                 grown = n - size
                 ok = np.flatnonzero((own != s) & (grown > 0) & (fill[own] + grown <= capacity) & (fill[own] - fill[s] + grown > 0))
@@ -105,6 +107,7 @@ def improve(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndarray:
                     own[a], own[b] = t, s
                     fill[t] += g
                     fill[s] -= g
+                    exchanges += 1
                     continue
                 bins, grown = own[first], n - both
                 ok = np.flatnonzero((bins == own[second]) & (bins != s) & (grown > 0) & (fill[bins] + grown <= capacity) & (fill[bins] - fill[s] + grown > 0))
@@ -114,11 +117,11 @@ def improve(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndarray:
                     own[a], own[first[k]], own[second[k]] = t, s, s
                     fill[t] += g
                     fill[s] -= g
-            emptied += fill[s] == 0
+                    exchanges += 1
             if np.count_nonzero(fill) <= least:
                 break
         where[docs] = own
-        if not emptied:
+        if not exchanges:
             break
     return where
 
@@ -142,11 +145,11 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).ids, int(separator).to_bytes(4, "little")
+        encode, end = encoder(path).many, int(separator).to_bytes(4, "little")
         for batch in batches:
             rows: dict[str, list] = {n: [] for n in ("doc", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []))}
-            for row, one in enumerate(batch.column(1)):
-                ids = encode(one.as_py()) + end
+            for row, ids in enumerate(encode(t.as_py() for t in batch.column(1))):
+                ids += end
                 n = len(ids) // 4
                 head = (n - 1) % capacity + 1
                 for p, (lo, hi) in enumerate(zip([0, *range(head, n, capacity)], range(head, n + 1, capacity))):
@@ -163,9 +166,9 @@ def token_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
-    """pieces with sequence_id and offset added; their other columns stay. pieces are written out once, since
+    """pieces with sequence_id and offset added; columns of pieces with these names go, the others stay. pieces are written out once, since
     their number sets the number of tasks."""
-    pieces = materialise(pieces)
+    pieces = materialise(pieces.drop("sequence_id", "offset"))
     tasks = max(1, -(-pieces.count() // TASK_PIECES))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +181,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, length: str = "leng
         table = table.append_column("sequence_id", pa.array(where + task, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
         yield from table.to_batches(10_000)
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return pieces.repartition(tasks).mapInArrow(place, schema)
 
 

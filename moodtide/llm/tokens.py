@@ -1,15 +1,14 @@
 """Token counts and token ids of whole texts by public tokenizer files.
 
-Texts go through Arrow functions one at a time; blocks balanced by bytes are formed among the missing pieces of one text, not
-among texts, and Spark alone bounds an Arrow batch. A tokenizer splits a text into pieces before
-it merges characters, and it encodes each piece alone; so a piece that was encoded once need not be
-encoded again. Each Python worker keeps a bounded table from piece to ids; what is missing from it is encoded
-by the library in batches. Texts in which the split could depend on the library's Unicode tables (anything beyond
-Latin letters and common punctuation), and texts that hold a special string, go to the library whole, long ones
-cut at a space between two ASCII letters, where every one of the supported splits cuts as well.
-
-Null and empty texts have no tokens. Nothing is truncated. Unknown tokenizer designs and sentencepiece
-models are given whole texts.
+Texts go through Arrow functions in blocks balanced by bytes: texts are gathered until they have BLOCK_BYTES, and what is missing for all of them is encoded by the library
+together, in calls of BLOCK_BYTES. Texts longer than CUT_BYTES are split at safe boundaries first: between a letter and
+a space before a letter, or a letter and a punctuation mark, whatever the script, where every one of the supported splits cuts as well and no special string can lie.
+A tokenizer splits a text into pieces before it merges characters, and it encodes each piece alone; so a piece that was encoded once need not be
+encoded again. Each Python worker keeps a bounded table from piece to ids; only missing pieces go to the library. Parts in which the split could depend on the library's Unicode tables (anything beyond
+Latin letters and common punctuation), and parts that hold a special string, go to the library whole.
+
+Null and empty texts have no tokens. Nothing is truncated. Texts without a safe boundary, and those for unknown tokenizer designs and sentencepiece
+models, are not split.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -30,7 +29,8 @@ BLOCK_BYTES = 1 << 20
 CUT_BYTES = 1 << 16
 CACHE_PIECES = 400_000
 _PLAIN = regex.compile(r"[\x00-\x1b\x20-\x7e\xa0-įı-ɏ‐-‧‰-⁞₠-₿]*")
-_CUT = regex.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Fixed value: marks that may follow a letter at a safe boundary.
+MARKS = ".,;:!?)…”»、。，！？；：）」』】،؟।"
 #: Fixed value: the split of byte-level tokenizers.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,10 +53,22 @@ def plain_split(pattern: str) -> re.Pattern | regex.Pattern:
         return regex.compile(pattern)
 
 
-def cut(text: str, size: int = CUT_BYTES) -> Iterator[str]:
-    """Parts of at least `size` characters (the last may be shorter), cut before a space between ASCII letters."""
+def boundary(special: tuple[str, ...] = ()) -> regex.Pattern | None:
+    """Where a text may be split: after a letter, before a space with a letter after it, or before a mark that no special string holds; None if a special string holds
+    a letter, a space and a letter."""
+    marks = "".join(c for c in MARKS if not any(c in s for s in special))
+    if any(regex.search(r"\p{L} \p{L}", s) for s in special):
+        return None
+    return regex.compile(rf"(?<=\p{{L}})(?= \p{{L}}|[{regex.escape(marks, special_only=False)}])" if marks else r"(?<=\p{L})(?= \p{L})")
+
+
+_CUT = boundary()
+
+
+def cut(text: str, size: int = CUT_BYTES, at: regex.Pattern | None = _CUT) -> Iterator[str]:
+    """Parts of at least `size` characters (the last may be shorter), cut at safe boundaries."""
     start = 0
-    while len(text) - start > size and (m := _CUT.search(text, start + size)):
+    while at and len(text) - start > size and (m := at.search(text, start + size)):
         yield text[start : m.start()]
         start = m.start()
     yield text[start:]
@@ -67,7 +79,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.cache: dict[str, bytes] = {}
-        self.split, self.lower = None, False
+        self.split, self.lower, self.boundary = None, False, None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -85,6 +97,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             design = json.load(f)
         self.special = tuple(t["content"] for t in design["added_tokens"])
+        self.boundary = boundary(self.special)
         pre, norm = design["pre_tokenizer"] or {}, design["normalizer"] or {}
         parts = pre.get("pretokenizers", [pre])
         steps = [n["type"] for n in norm.get("normalizers", [])]
@@ -111,19 +124,46 @@ class Encoder:
         return self.split.findall(text.lower() if self.lower else text)
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        pieces = self.pieces(text)
-        if pieces is None:
-            return b"".join(self._raw(list(cut(text)) if self.split else [text]))
-        try:
-            return b"".join(map(self.cache.__getitem__, pieces))
-        except KeyError:
-            if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
-            missing = list(set(pieces).difference(self.cache))
-            self.cache.update(zip(missing, self._raw(missing)))
-            return b"".join(map(self.cache.__getitem__, pieces))
+        return next(self.many([text]))
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text in order; texts are taken until they have BLOCK_BYTES."""
+        block: list[list[str]] = []
+        size = 0
+        for text in texts:
+            block.append(list(cut(text, CUT_BYTES, self.boundary)) if self.split and text else [text] if text else [])
+            size += len(text or "")
+            if size >= BLOCK_BYTES:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
+
+    def _block(self, block: list[list[str]]) -> Iterator[bytes]:
+        if len(self.cache) > CACHE_PIECES:
+            self.cache.clear()
+        known = self.cache.__getitem__
+        done: list[list] = []  # for each part its ids, its pieces, or its place among the raw parts
+        raw: list[str] = []
+        missing: dict[str, None] = {}
+        for parts in block:
+            row: list = []
+            for part in parts:
+                pieces = self.pieces(part)
+                if pieces is None:
+                    row.append(len(raw))
+                    raw.append(part)
+                    continue
+                try:
+                    row.append(b"".join(map(known, pieces)))
+                except KeyError:
+                    missing.update(dict.fromkeys(set(pieces).difference(self.cache)))
+                    row.append(pieces)
+            done.append(row)
+        encoded = self._raw([*missing, *raw])
+        self.cache.update(zip(missing, encoded))
+        first = len(missing)
+        for row in done:
+            yield b"".join(x if isinstance(x, bytes) else encoded[first + x] if isinstance(x, int) else b"".join(map(known, x)) for x in row)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -139,8 +179,7 @@ def token_count(text: Column, path: str) -> Column:
     """The number of tokens of each whole text; lengths only leave the Python worker."""
 
     def count(texts: pa.Array) -> pa.Array:
-        ids = encoder(path).ids
-        return pa.array([len(ids(t.as_py())) // 4 for t in texts], pa.int64())
+        return pa.array([len(ids) // 4 for ids in encoder(path).many(t.as_py() for t in texts)], pa.int64())
 
     return F.arrow_udf(count, T.LongType()).asNondeterministic()(text)
 

@@ -116,10 +116,37 @@ def test_long_texts_are_cut_where_the_library_cuts(name, monkeypatch):
 
     monkeypatch.setattr(tokens, "CUT_BYTES", 40)
     text = " ".join(["日本 and", "l'été  two  spaces", "it's\n\nnew", "a-b c3po 12 345!?"] * 30)
+    library = Tokenizer.from_file(P.path(name))
+    for many in ("Это длинный текст, и он по-русски. " * 300, "这是一个很长的文本，没有空格。真的吗？是的！" * 300, "ΟΔΥΣΣΕΥΣ ΚΑΙ ΣΙΣΥΦΟΣ. " * 200, "한국어 문장입니다. " * 200, "क्षत्रिय हिन्दी। " * 200, "la te\u0301 on, A\u030a. " * 200, "<|endoftext|>a.b<|startoftext|> x" * 200, "日本語。" + "<|endoftext|>" * 60 + "終。" * 50):
+        mine = tokens.Encoder(P.path(name))
+        assert np.frombuffer(mine.ids(many), "<u4").tolist() == library.encode(many, add_special_tokens=False).ids
+        assert "".join(tokens.cut(many, 40, mine.boundary)) == many and len(list(tokens.cut(many, 40, mine.boundary))) > 3
     assert list(np.frombuffer(b"".join(tokens.Encoder(P.path(name))._raw(list(tokens.cut(text, 40)))), "<u4")) == Tokenizer.from_file(P.path(name)).encode(text, add_special_tokens=False).ids
     assert "".join(tokens.cut(text, 40)) == text and len(list(tokens.cut(text, 40))) > 5
 
 
+def test_texts_share_calls_balanced_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 2000)
+    made = tokens.Encoder(P.path("word_bpe_49k.json"))
+    calls, real = [], made._batch
+    made._batch = lambda texts: calls.append([len(t) for t in texts]) or real(texts)
+    texts = [f"слово{i} и ещё {i}" * (1 + i % 7) for i in range(300)] + [None, "", "y" * 9000]
+    got = [len(x) // 4 for x in made.many(texts)]
+    assert got == [len(real([t])[0]) if t else 0 for t in texts]
+    assert len(calls) < 30 and all(sum(c[:-1]) < 2000 for c in calls) and max(len(c) for c in calls) > 10
+
+
+def test_token_operators_with_odd_rows(spark):
+    long = "word and слово, " * 40_000
+    docs = spark.createDataFrame([(1, long, 5, "a"), (1, long, 5, "a"), (None, "x y", 6, "b"), (2, None, 7, "c")], "doc_id long, text string, n_tokens int, sequence_id string")
+    counted = tokens.count_tokens(docs, P.path("word_bpe_49k.json")).collect()
+    assert sorted((r.doc_id is None, r.n_bytes, r.over_limit, r.sequence_id) for r in counted) == [(False, 0, False, "c"), (False, len(long.encode()), True, "a"), (False, len(long.encode()), True, "a"), (True, 3, False, "b")]
+    pieces = packing.token_pieces(docs, P.path("byte_bpe_50k.json")).withColumn("sequence_id", F.lit("mine"))
+    packed = packing.pack_pieces(pieces).collect()
+    assert packed[0].__fields__.count("sequence_id") == 1 and {type(r.sequence_id) for r in packed} == {int}
+    assert sum(r.doc_id is None for r in packed) == 1 and sum(r.length for r in packed if r.doc_id == 1) == 2 * sum(r.length for r in packed if r.doc_id == 1) // 2
+
+
 def test_packing_is_a_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
@@ -159,6 +186,11 @@ def test_local_search_empties_bins():
     rng = np.random.default_rng(1)
     z = rng.integers(500, 1500, 2000)
     w, o = packing.pack(z)
+    hard = rng.integers(400, 1100, 1500)  # where best fit leaves bins that only exchanges empty
+    before, after = packing.best_fit(hard, 2048), packing.improve(hard, packing.best_fit(hard, 2048), 2048)
+    fills = np.bincount(after, hard)
+    assert fills.max() <= 2048 and (fills > 0).sum() < before.max() + 1 and (fills**2).sum() > (np.bincount(before, hard) ** 2).sum()
+    assert (packing.improve(hard, after, 2048) == after).all() or (fills > 0).sum() == -(-hard.sum() // 2048)
     assert np.bincount(w, z).max() <= 2048 and w.max() < packing.best_fit(z, 2048).max() + 1
 
 
