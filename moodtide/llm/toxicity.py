@@ -19,12 +19,12 @@ scores are the share of toxic labels (of one in two where there are none). An em
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,24 +46,31 @@ STARTS = (4, 5, 6, 7)
 N_FEATURES = 3000
 #: Penalty of squared weights and the most steps of the classifier's fit.
 RIDGE, STEPS = 1e-4, 80
-_WORD = regex.compile(r"[^\W\d_]+")
-_ADDRESS = regex.compile(r"\byou(?:'re| are)? (?:an? )?\p{L}+")
+_WORD = re.compile(r"[^\W\d_]+")
+_SHOUTED = re.compile(r"[A-ZÀ-ÖØ-Þ]{4,}")
+_ADDRESS = re.compile(r"\byou(?:'re| are)? (?:an? )?[^\W\d_]+")
 
 
 def words_of(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
+def names_of(w: str) -> list[str]:
+    """The features of a word: itself, with a trailing bar, and its starts. `#` stands for any insult."""
+    names = [w + "|"]
+    if len(w) > STARTS[0]:
+        names += [w[:k] for k in STARTS if len(w) > k]
+    if w in _INSULTS:
+        names.append("#")
+    return names
+
+
 def features_of(words: Counter) -> Counter:
-    """Words and their starts, with how often they occur; a trailing bar marks whole words. `#` stands for any insult."""
+    """The features of all words, with how often they occur."""
     out: Counter = Counter()
     for w, n in words.items():
-        if w in _INSULTS:
-            out["#"] += n
-        out[w + "|"] += n
-        for k in STARTS:
-            if len(w) > k:
-                out[w[:k]] += n
+        for f in names_of(w):
+            out[f] += n
     return out
 
 
@@ -109,37 +116,45 @@ class Voters:
         starts = list(dict.fromkeys(t.rstrip("|")[:FAMILY_START] for t in strong if len(t) >= FAMILY_START))[:FAMILIES]
         self.family = {start: i for i, start in enumerate(starts)}
         self.members = frozenset(strong)
+        self.heeded = self.members.union(*self.tiers)
         self.n = 2 * len(LEXICONS) + 14 + 3 * FAMILIES
-        self.known: dict[str, tuple[int, tuple[int, ...], int]] = {}
-
-    def look_up(self, w: str) -> tuple[int, tuple[int, ...], int]:
-        """The word's lexicon and family (-1: none) and how many of its features are in each tier."""
-        found = self.known.get(w)
-        if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            features = features_of(Counter([w]))
-            lexicon = next((i for i, words in enumerate(LEXICONS) if w in words), -1)
-            family = self.family.get(w[:FAMILY_START], -1) if any(f in self.members for f in features) else -1
-            found = self.known[w] = (lexicon, tuple(sum(f in tier for f in features) for tier in self.tiers), family)
-        return found
-
-    def vote(self, text: str | None, words: Counter | None = None) -> int:
+        self.known: dict[str, tuple[int, tuple[int, ...], int] | None] = {}
+
+    def look_up(self, w: str) -> tuple[int, tuple[int, ...], int] | None:
+        """The word's lexicon and family (-1: none) and how many of its features are in each tier; None if no voter heeds it."""
+        features = names_of(w)
+        if w not in _INSULTS and self.heeded.isdisjoint(features):
+            return None
+        lexicon = next((i for i, words in enumerate(LEXICONS) if w in words), -1)
+        family = self.family.get(w[:FAMILY_START], -1) if any(f in self.members for f in features) else -1
+        tiers = tuple(sum(f in tier for f in features) for tier in self.tiers)
+        return (lexicon, tiers, family) if lexicon >= 0 or family >= 0 or any(tiers) else None
+
+    def vote(self, text: str | None) -> int:
+        words, found = words_of(text), []
+        for w, n in words.items():
+            if w not in self.known:
+                if len(self.known) > 500_000:
+                    self.known.clear()
+                self.known[w] = self.look_up(w)
+            if (got := self.known[w]) is not None:
+                found.append((got, n))
+        return self.votes_of(text, found, sum(words.values()))
+
+    def votes_of(self, text: str | None, found: list, total: int) -> int:
+        """The votes from what look_up() gave for words of the text, with their counts, and its number of words."""
         raw = text or ""
-        words = words_of(text) if words is None else words
         by_lexicon, tier = [0] * len(LEXICONS), [0] * len(self.tiers)
         family, kinds = [0] * FAMILIES, [0] * FAMILIES
-        for w, n in words.items():
-            lexicon, tiers, i = self.look_up(w)
+        for (lexicon, tiers, i), n in found:
             if lexicon >= 0:
                 by_lexicon[lexicon] += n
-            if any(tiers):
-                tier = [a + n * b for a, b in zip(tier, tiers)]
+            tier = [a + n * b for a, b in zip(tier, tiers)]
             if i >= 0:
                 family[i] += n
                 kinds[i] += 1
-        insults, total = sum(by_lexicon), sum(words.values())
-        shouted = sum(w.isupper() and len(w) > 3 for w in raw.split())
+        insults = sum(by_lexicon)
+        shouted = len(_SHOUTED.findall(raw))
         fired = [
             *(n >= 1 for n in by_lexicon), *(n >= 2 for n in by_lexicon),
             insults >= 1, insults >= 3, insults >= 6, 50 * insults > total,
@@ -276,21 +291,32 @@ class Classifier:
 
     def __init__(self, terms: list[str], weights: list[float], intercept: float, voters: Voters | None = None):
         self.weights, self.intercept, self.voters = dict(zip(terms, weights)), intercept, voters
-        self.known: dict[str, list[str]] = {}
+        self.known: dict[str, tuple[list[str], object] | None] = {}
+
+    def look_up(self, w: str) -> tuple[list[str], object] | None:
+        """The word's features that have a weight and what the voters know of it; None if neither."""
+        parts = [f for f in names_of(w) if f in self.weights]
+        heard = self.voters.look_up(w) if self.voters else None
+        return (parts, heard) if parts or heard else None
 
     def score(self, text: str | None) -> float:
-        found: Counter = Counter()
+        found, heard = Counter(), []
         words = words_of(text)
+        known = self.known
         for w, n in words.items():
-            parts = self.known.get(w)
-            if parts is None:
-                if len(self.known) > 500_000:
-                    self.known.clear()
-                parts = self.known[w] = [f for f in features_of(Counter([w])) if f in self.weights]
-            for f in parts:
-                found[f] += n
+            try:
+                got = known[w]
+            except KeyError:
+                if len(known) > 500_000:
+                    known.clear()
+                got = known[w] = self.look_up(w)
+            if got is not None:
+                for f in got[0]:
+                    found[f] += n
+                if got[1]:
+                    heard.append((got[1], n))
         odds = self.intercept + sum(self.weights[f] * strength(n) for f, n in found.items())
-        votes = self.voters.vote(text, words) if self.voters else 0
+        votes = self.voters.votes_of(text, heard, sum(words.values())) if self.voters else 0
         odds += sum(self.weights.get(f"@{i}", 0.0) * strength(1) for i in range(votes.bit_length()) if votes >> i & 1)
         return 1 / (1 + math.exp(-min(max(odds, -40), 40)))
 
