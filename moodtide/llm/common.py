@@ -20,7 +20,7 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, the warehouse, or, where all run on one machine, a temporary one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -28,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="moodtide-"))
+        alone = sc.master.split("[")[0] == "local"
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="moodtide-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 

@@ -1,12 +1,13 @@
 """Deleting repeated runs of lines by a suffix array over line ids; DataFrame functions only.
 
-The lines of all documents (split at \\n) are one sequence of ids with an end after each document. A suffix array
-by prefix doubling sorts the positions by their first line, then by their first two, four, ... lines: each round pairs a position's rank with the rank
-2^j lines further and ranks the distinct pairs by a distributed sort. Positions of equal rank after depth m are
-an interval of the suffix array whose longest common prefix is m lines or more, that is, the copies of one run.
-Runs of m lines cover every longer run, and overlapping ones join to maximal repeated runs; so the depth that decides is the shortest run that counts, and
-the doubling ends there. Positions whose run occurs once leave after each round, so that rounds soon handle
-repeated lines only.
+The lines of all documents (split at \\n) are one sequence of ids with an end after each document. The suffix array of the positions whose line occurs
+again is built by distributed prefix doubling: a position has a path, at first its line's hash; each round pairs it with the path of the position 2^j lines further and a distributed
+sort of the distinct pairs gives the rank that extends it. Positions whose rank is unique, or after whose 2^j lines the document or the repeats end, are settled;
+rounds go on until all are. Sorting by paths is then the order of the suffixes, and equal paths up to round j mean 2^j common lines.
+
+The longest common prefix of neighbours comes from these ranks: the last round in which they agree gives its highest binary digit, the same question 2^j lines further
+the next one, as far as the bound asked for needs it. Neighbours with a prefix of m lines or more make up intervals, each one the copies of a run of m lines. They overlap to maximal runs:
+a position whose longest earlier match has k >= m lines starts k - m + 1 of them, which cover it. So `min_lines` is a filter on runs, whatever their length.
 
 A run counts if it has at least `min_lines` lines, or if one of its lines alone has at least `min_words` words.
 The copy at the smallest (document id, line) is kept, all later ones are deleted, within a document too. A run of one
@@ -14,27 +15,22 @@ line may overlap nothing; longer runs may overlap their own copies. Lines keep t
 
 Null texts stay null. Empty texts have one blank line. Rows that are equal in id and text count as one document and keep the same lines.
 Rows of equal id and different texts are told apart by a hash of the text. An empty table gives no rows. No task holds all copies of a line: groups are found by
-partial sums, and joins on lines are such that Spark can split a frequent one.
+partial sums, joins on lines are such that Spark can split a frequent one, and an interval's first copy goes to its members in parts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, drop_materialised, materialise
+from .components import joined_by_parts
 
 MIN_LINES, MIN_WORDS = 2, 5
 
 
-def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows in groups of equal `by` that stand at two positions or more, with `rank` (in the order of by, from a
-    distributed sort of the groups) and `first` (the group's least position)."""
-    groups = rows.groupBy(*by).agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").drop("last")
-    ranks = materialise(groups.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()))
-    return rows.join(ranks, by).drop(*by)
-
-
 def line_positions(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
     """One row per line: `at` (document id, text's hash, line number), two hashes and whether it counts alone."""
     line = F.col("line")
@@ -43,24 +39,92 @@ def line_positions(docs: DataFrame, doc_id: str, text: str, min_words: int) -> D
     )
 
 
-def suffix_ranks(now: DataFrame, depth: int) -> DataFrame:
-    """Repeated positions in the suffix array's order to `depth` lines, from those to one line: `at`, `rank` and `first`."""
-    have = 1
-    while have < depth:
-        step = min(have, depth - have)
-        doc = Window.partitionBy("at.d", "at.h").orderBy("at.n").rangeBetween(step, step)
-        paired = now.select("at", F.col("rank").alias("a"), F.first("rank").over(doc).alias("b")).filter("b is not null")
-        now = materialise(ranked(materialise(paired), ["a", "b"]))
-        have += step
-    return now
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """d, h, n, alone and path (of two hashes) of every line that occurs at two positions or more, each position once."""
+    groups = lines.groupBy("a", "b").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select("a", "b")
+    found = lines.join(groups, ["a", "b"]).select("at.d", "at.h", "at.n", F.array("a", "b").alias("path"), "alone")
+    return found.repartition("d", "h").dropDuplicates(["d", "h", "n"])
+
+
+def suffix_array(repeated: DataFrame) -> DataFrame:
+    """d, h, n, alone, path and `id`, rising in the order of the suffixes."""
+    settled, step = [], 1
+    now, ranks = repeated.withColumn("open", F.lit(True)), None
+    doc = Window.partitionBy("d", "h")
+    while True:
+        further = F.first("path").over(doc.orderBy("n").rangeBetween(step, step))
+        seen = materialise(now.withColumn("going", F.bool_or("open").over(doc)).withColumn("further", F.when(F.col("open"), further)))
+        if ranks is not None:
+            drop_materialised(ranks)
+        settled.append(seen.filter("not going").select("d", "h", "n", "alone", "path"))
+        if seen.filter("going").isEmpty():
+            break
+        pairs = seen.filter("open and further is not null").groupBy("path", "further").agg(F.count("*").alias("members"))
+        ranks = materialise(pairs.orderBy("path", "further").withColumn("rank", F.monotonically_increasing_id()))
+        # what ends here comes first, in any order
+        end = -F.xxhash64("d", "h", "n").bitwiseAND((1 << 63) - 1) - 1
+        longer = F.when(F.col("open"), F.concat("path", F.array(F.coalesce("rank", end)))).otherwise(F.col("path"))
+        now = seen.filter("going").join(ranks, ["path", "further"], "left").select("d", "h", "n", "alone", longer.alias("path"), F.coalesce(F.col("members") > 1, F.lit(False)).alias("open"))
+        step *= 2
+    return materialise(reduce(DataFrame.union, settled).orderBy("path").withColumn("id", F.monotonically_increasing_id()))
+
+
+def common_round(p: Column, q: Column) -> Column:
+    """The last round j in which two paths agree, that is, 2^j lines in common; -1 if their lines differ or one is missing."""
+    differ = F.array_position(F.zip_with(p, q, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False)).cast("int")
+    return F.coalesce(F.when(differ > 2, differ - 3), F.lit(-1))
+
+
+def lines_of(j: Column) -> Column:
+    return F.when(j >= 0, F.pow(F.lit(2.0), j)).otherwise(0).cast("int")
+
+
+def neighbours(suffixes: DataFrame, min_lines: int) -> DataFrame:
+    """d, h, n, alone, id and lcp of every suffix: the lines it has in common with the one before it, exact where that decides whether they are min_lines or more."""
+    part = F.shiftright("id", 33).alias("part")
+    here = F.struct("d", "h", "n", "path")
+    ends = suffixes.groupBy(part).agg(F.max_by(here, "id").alias("last"))  # one row per task of the sort
+    border = ends.select(F.col("part").alias("at_part"), F.lag("last").over(Window.orderBy("part")).alias("border"))
+    before = F.coalesce(F.lag(here).over(Window.partitionBy("part").orderBy("id")), F.col("border"))
+    pairs = suffixes.withColumn("part", part).join(F.broadcast(border), F.col("part") == F.col("at_part")).withColumn("before", before)
+    pairs = pairs.withColumn("j", common_round(F.col("path"), F.col("before.path"))).withColumn("lcp", lines_of(F.col("j")))
+    pairs = pairs.select("d", "h", "n", "alone", "id", "part", F.struct("before.d", "before.h", "before.n").alias("before"), "j", "lcp")
+    open_ = (F.col("j") > 0) & (F.col("lcp") < min_lines) & (F.col("lcp") + lines_of(F.col("j")) > min_lines)
+    paths = suffixes.select(F.struct("d", "h", "n").alias("place"), "path")
+    # between powers of two of lines the next digits of the prefix decide
+    while min_lines & (min_lines - 1):
+        pairs = materialise(pairs)
+        some = pairs.filter(open_)
+        if some.isEmpty():
+            break
+        one, two = F.struct("d", "h", (F.col("n") + F.col("lcp")).alias("n")), F.struct("before.d", "before.h", (F.col("before.n") + F.col("lcp")).alias("n"))
+        asked = some.withColumn("one", one).withColumn("two", two)
+        asked = asked.join(paths.select(F.col("place").alias("one"), F.col("path").alias("p")), "one", "left").join(paths.select(F.col("place").alias("two"), F.col("path").alias("q")), "two", "left")
+        asked = asked.withColumn("j", common_round(F.col("p"), F.col("q"))).withColumn("lcp", F.col("lcp") + lines_of(F.col("j"))).select(*pairs.columns)
+        pairs = pairs.filter(~open_).union(asked)
+    return materialise(pairs.drop("before", "j"))
+
+
+def interval_copies(linked: DataFrame, m: int) -> DataFrame:
+    """d, h, n, alone of every suffix that has an earlier one (by d, h, n) in its interval of common prefixes of m lines or more."""
+    order = Window.partitionBy("part").orderBy("id")
+    starts = (F.col("lcp") < m).cast("long")
+    totals = linked.groupBy("part").agg(F.sum(starts).alias("n_starts"))  # one row per task of the sort
+    offset = totals.select(F.col("part").alias("at_part"), (F.sum("n_starts").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_starts")).alias("offset"))
+    running = F.sum(starts).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = linked.withColumn("running", running).join(F.broadcast(offset), F.col("part") == F.col("at_part")).withColumn("interval", F.col("offset") + F.col("running"))
+    numbered = materialise(numbered.select("d", "h", "n", "alone", "id", "interval"))
+    here = F.struct("d", "h", "n")
+    firsts = numbered.groupBy("interval").agg(F.min(here).alias("first"), F.count("*").alias("members")).filter("members > 1").select("interval", "first")
+    return joined_by_parts(numbered, firsts, "interval", F.col("id")).filter(F.col("first") < here).select("d", "h", "n", "alone")
 
 
 def later_copies(lines: DataFrame, min_lines: int) -> DataFrame:
     """d, h, n of every line that is part of a later copy of a run that counts."""
-    repeated = materialise(ranked(lines, ["a", "b"]))
-    single = repeated.filter("alone and first < at").select("at.d", "at.h", "at.n")
-    runs = suffix_ranks(repeated, min_lines).filter("first < at")
-    covered = runs.select("at.d", "at.h", F.explode(F.sequence("at.n", F.col("at.n") + min_lines - 1)).alias("n"))
+    linked = neighbours(suffix_array(repeated_lines(lines)), min_lines)
+    single = interval_copies(linked, 1).filter("alone").select("d", "h", "n")
+    runs = interval_copies(linked, min_lines)
+    covered = runs.select("d", "h", F.explode(F.sequence("n", F.col("n") + min_lines - 1)).alias("n"))
     return single.union(covered)
 
 

@@ -267,6 +267,37 @@ def test_lines_equal_longest_earlier_runs(docs, rows, spark):
     assert {r.doc_id: r.text for r in lines.dedup_lines(docs.union(docs)).collect()} == brute_lines(rows)
 
 
+def test_long_and_overlapping_runs_equal_brute_force(spark):
+    rng = np.random.default_rng(17)
+    base = [f"line {x}" for x in rng.integers(0, 10**6, 70)]
+    rows = []
+    for i in range(30):
+        lo, size = int(rng.integers(0, 60)), int(rng.integers(1, 40))
+        part = [x for x in base[lo : lo + size]]
+        if rng.random() < 0.5:
+            part[rng.integers(len(part))] = "other"
+        rows.append((i, "\n".join(part * int(rng.integers(1, 3)))))
+    rows += [(40, "\n".join(["same"] * 37)), (41, "\n".join(["same"] * 20 + ["x"])), (42, "\n".join(base)), (43, "\n".join(base)), (44, None), (45, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for m in (1, 2, 3, 5, 7):
+        assert {r.doc_id: r.text for r in lines.dedup_lines(df, min_lines=m, min_words=9).collect()} == brute_lines(rows, m, 9), m
+
+
+def test_suffix_array_is_in_the_order_of_its_prefixes(spark):
+    rng = np.random.default_rng(18)
+    texts = [[str(x) for x in rng.integers(0, 3, rng.integers(1, 20))] for _ in range(25)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = lines.neighbours(lines.suffix_array(lines.repeated_lines(lines.line_positions(df, "doc_id", "text", 1))), 7).orderBy("id").collect()
+    assert sorted((r.d, r.n) for r in found) == [(i, n) for i, t in enumerate(texts) for n in range(len(t))]
+    tails = [texts[r.d][r.n :] for r in found]
+    common = lambda x, y: next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+    for i in range(1, len(tails)):
+        true = common(tails[i - 1], tails[i])
+        assert found[i].lcp <= true and (found[i].lcp >= 7) == (true >= 7) and (true < 4 or found[i].lcp >= 4)
+        # no other suffix before it shares more, but through the ones between
+        assert all(common(tails[k], tails[i]) <= true for k in range(i))
+
+
 def test_maximal_runs_cover_what_goes(docs):
     runs = lines.maximal_runs(docs).collect()
     gone = {r.doc_id: r.n_deleted for r in lines.dedup_lines(docs).collect() if r.n_deleted}
