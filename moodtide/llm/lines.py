@@ -15,7 +15,7 @@ line may overlap nothing; longer runs may overlap their own copies. Lines keep t
 
 Null texts stay null. Empty texts have one blank line. Rows that are equal in id and text count as one document and keep the same lines.
 Rows of equal id and different texts are told apart by a hash of the text. An empty table gives no rows. No task holds all copies of a line: groups are found by
-partial sums, joins on lines are such that Spark can split a frequent one, and an interval's first copy goes to its members in parts.
+partial sums, and what is known of a line or an interval goes to its members in parts.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def line_positions(docs: DataFrame, doc_id: str, text: str, min_words: int) -> D
 def repeated_lines(lines: DataFrame) -> DataFrame:
     """d, h, n, alone and path (of two hashes) of every line that occurs at two positions or more, each position once."""
     groups = lines.groupBy("a", "b").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select("a", "b")
-    found = lines.join(groups, ["a", "b"]).select("at.d", "at.h", "at.n", F.array("a", "b").alias("path"), "alone")
+    found = joined_by_parts(lines, groups, ["a", "b"], F.col("at")).select("at.d", "at.h", "at.n", F.array("a", "b").alias("path"), "alone")
     return found.repartition("d", "h").dropDuplicates(["d", "h", "n"])
 
 
