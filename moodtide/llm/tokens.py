@@ -19,6 +19,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 BLOCK_BYTES = 1 << 20
 CUT_BYTES = 1 << 16
 CACHE_PIECES = 400_000
-_PLAIN = regex.compile(r"[\x00-\x1b\x20-\x7e\xa0-įı-ɏ‐-‧‰-⁞₠-₿]*")
+_PLAIN = re.compile(r"[\x00-\x1b\x20-\x7e\xa0-įı-ɏ‐-‧‰-⁞₠-₿]*")
 #: Fixed value: marks that may follow a letter at a safe boundary.
 MARKS = ".,;:!?)…”»、。，！？；：）」』】،؟।"
 #: Fixed value: the split of byte-level tokenizers.
@@ -79,7 +80,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.cache: dict[str, bytes] = {}
-        self.split, self.lower, self.boundary = None, False, None
+        self.split, self.lower, self.boundary, self.widths = None, False, None, None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -103,6 +104,10 @@ class Encoder:
         steps = [n["type"] for n in norm.get("normalizers", [])]
         if not norm and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
             self.split = plain_split(BYTE_LEVEL)
+            # a byte-level token is as many bytes as its name has characters
+            vocab = design["model"]["vocab"]
+            self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.widths[list(vocab.values())] = [len(t) for t in vocab]
         elif steps == ["NFC", "Replace", "Lowercase"] and parts[0].get("type") == "Split" and parts[0]["behavior"] == "Removed" and parts[0]["invert"]:
             self.split, self.lower = plain_split(parts[0]["pattern"]["Regex"]), True
 
@@ -117,6 +122,33 @@ class Encoder:
                 some, size = [], 0
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces that are a space and letters: joined they split as they are, so the library sees BLOCK_BYTES of them as one text, whose ids the
+        tokens' widths deal out again."""
+        out: list[bytes] = []
+        sizes = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        blocks = np.cumsum(sizes) // BLOCK_BYTES
+        for k in np.unique(blocks).tolist():
+            lo, hi = np.searchsorted(blocks, [k, k + 1]).tolist()
+            ids = np.array(self._batch(["".join(words[lo:hi])])[0], "<u4")
+            at, ends = np.cumsum(self.widths[ids]), np.cumsum(sizes[lo:hi])
+            stops = np.searchsorted(at, ends) + 1
+            if len(at) == 0 or stops[-1] != len(ids) or (at[stops - 1] != ends).any():
+                out += self._raw(words[lo:hi])
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(4 * stops[:-1]).tolist()], (4 * stops).tolist())]
+        return out
+
+    def _missing(self, pieces: list[str]) -> list[bytes]:
+        if self.widths is None:
+            return self._raw(pieces)
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        known = dict(zip(words, self._words(words)))
+        others = [p for p in pieces if p not in known]
+        known.update(zip(others, self._raw(others)))
+        return [known[p] for p in pieces]
+
     def pieces(self, text: str) -> list[str] | None:
         """The pieces of a text in order, or None if the library must see it whole."""
         if self.split is None or any(s in text for s in self.special) or not _PLAIN.fullmatch(text):
@@ -159,11 +191,10 @@ class Encoder:
                     missing.update(dict.fromkeys(set(pieces).difference(self.cache)))
                     row.append(pieces)
             done.append(row)
-        encoded = self._raw([*missing, *raw])
-        self.cache.update(zip(missing, encoded))
-        first = len(missing)
+        self.cache.update(zip(missing, self._missing(list(missing))))
+        encoded = self._raw(raw)
         for row in done:
-            yield b"".join(x if isinstance(x, bytes) else encoded[first + x] if isinstance(x, int) else b"".join(map(known, x)) for x in row)
+            yield b"".join(x if isinstance(x, bytes) else encoded[x] if isinstance(x, int) else b"".join(map(known, x)) for x in row)
 
 
 _ENCODERS: dict[str, Encoder] = {}
