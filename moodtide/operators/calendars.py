@@ -26,16 +26,16 @@ def observed(d: Column, month: int, day: int) -> Column:
     return (is_it(d) & ~w.isin(1, 7)) | ((w == 6) & is_it(F.date_add(d, 1))) | ((w == 2) & is_it(F.date_sub(d, 1)))
 
 
-def easter(year: Column) -> Column:
-    """Easter Sunday (Oudin's form of the Gregorian rule)."""
+def easter_days(spark: SparkSession, first: int, last: int) -> DataFrame:
+    """year and its Easter Sunday (Oudin's form of the Gregorian rule), step by step."""
     div = lambda a, b: F.floor(a / b)
-    g, c = year % 19, div(year, 100)
-    h = (c - div(c, 4) - div(8 * c + 13, 25) + 19 * g + 15) % 30
-    i = h - div(h, 28) * (1 - div(29, h + 1) * div(21 - g, 11))
-    j = (year + div(year, 4) + i + 2 - c + div(c, 4)) % 7
-    p = i - j
-    month = 3 + div(p + 40, 44)
-    return F.make_date(year.cast("int"), month.cast("int"), (p + 28 - 31 * div(month, 4)).cast("int"))
+    t = spark.range(first, last + 1).select(F.col("id").alias("year"), (F.col("id") % 19).alias("g"), div(F.col("id"), 100).alias("c"))
+    c, h, year = F.col("c"), F.col("h"), F.col("year")
+    t = t.withColumn("h", (c - div(c, 4) - div(8 * c + 13, 25) + 19 * F.col("g") + 15) % 30)
+    t = t.withColumn("i", h - div(h, 28) * (1 - div(29, h + 1) * div(21 - F.col("g"), 11)))
+    t = t.withColumn("p", F.col("i") - (year + div(year, 4) + F.col("i") + 2 - c + div(c, 4)) % 7)
+    t = t.withColumn("month", 3 + div(F.col("p") + 40, 44))
+    return t.select("year", F.make_date(year.cast("int"), F.col("month").cast("int"), (F.col("p") + 28 - 31 * div(F.col("month"), 4)).cast("int")).alias("easter"))
 
 
 def federal_holiday(d: Column) -> Column:
@@ -46,20 +46,22 @@ def federal_holiday(d: Column) -> Column:
     )
 
 
-def exchange_closed(d: Column) -> Column:
-    """Rule-based full-day closures; a New Year's Day on a Saturday isn't moved to the old year."""
+def exchange_closed(d: Column, easter: Column) -> Column:
+    """Rule-based full-day closures, given the year's Easter Sunday; a New Year's Day on a Saturday isn't moved to the old year."""
     year = F.year(d)
     new_year = (F.month(d) == 1) & observed(d, 1, 1)
     return (
         F.dayofweek(d).isin(1, 7) | new_year | nth_weekday(d, 2, 1, 3) | last_weekday(d, 5, 1) | observed(d, 7, 4) | nth_weekday(d, 9, 1, 1) | nth_weekday(d, 11, 4, 4) | observed(d, 12, 25)
-        | ((year >= 1998) & nth_weekday(d, 1, 1, 3)) | ((year >= 2022) & observed(d, 6, 19)) | (F.date_add(d, 2) == easter(year))
+        | ((year >= 1998) & nth_weekday(d, 1, 1, 3)) | ((year >= 2022) & observed(d, 6, 19)) | (F.date_add(d, 2) == easter)
     )
 
 
 def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     """date, is_weekend, holiday, is_business, is_session, and the first business day and the next session from it."""
     d = F.col("date")
-    base = days(spark, first, last).select("date", F.dayofweek(d).isin(1, 7).alias("is_weekend"), federal_holiday(d).alias("holiday"), (~exchange_closed(d)).alias("is_session"))
+    years = easter_days(spark, int(first[:4]), int(last[:4]))  # one row per year
+    dated = days(spark, first, last).withColumn("year", F.year("date").cast("long")).join(F.broadcast(years), "year")
+    base = dated.select("date", F.dayofweek(d).isin(1, 7).alias("is_weekend"), federal_holiday(d).alias("holiday"), (~exchange_closed(d, F.col("easter"))).alias("is_session"))
     base = base.withColumn("is_business", ~F.col("is_weekend") & F.col("holiday").isNull())
     # one row per day, so a single ordering is small
     ahead = Window.partitionBy(F.lit(0)).orderBy("date")

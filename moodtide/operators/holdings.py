@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 from ..functions.numbers import half_up
 from ..functions.texts import issuer_key
 
@@ -109,16 +111,18 @@ def changed_only(df: DataFrame, keys: list[str], order: str, columns: list[str])
     return df.withColumn("_b", F.lag(now).over(w)).filter(F.col("_b").isNull() | ~F.col("_b").eqNullSafe(now)).drop("_b")
 
 
-def chains(links: DataFrame, start: str, end: str, value: str, most: int = 400) -> DataFrame:
+def chains(links: DataFrame, start: str, end: str, value: str) -> DataFrame:
     """Maximal chains of rows in which one's end is the next one's start: first start, last end, length and the product of the values.
 
     Runs by doubling: in each round every row takes over what follows the row it leads to, so that n rows in a
-    chain take log n rounds. Starts and ends are unique, and ends come after starts."""
-    rows = links.select(F.col(start).alias("s"), F.col(end).alias("e"), F.lit(1).cast("long").alias("n"), F.log(value).alias("v"))
-    reach = 1
-    while reach < most:
+    chain take log n rounds, until no row leads any further. Starts and ends are unique, and ends come after starts. Each round's rows are a checkpoint."""
+    rows = cut(links.select(F.col(start).alias("s"), F.col(end).alias("e"), F.lit(1).cast("long").alias("n"), F.log(value).alias("v")))
+    while True:
         nxt = rows.select(F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("n").alias("n2"), F.col("v").alias("v2"))
-        rows = rows.join(nxt, F.col("e") == F.col("s2"), "left").select("s", F.coalesce("e2", "e").alias("e"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("v") + F.coalesce("v2", F.lit(0.0))).alias("v"))
-        reach *= 2
+        further = rows.join(nxt, F.col("e") == F.col("s2"), "left").select("s", F.coalesce("e2", "e").alias("e"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("v") + F.coalesce("v2", F.lit(0.0))).alias("v"), F.col("e2").isNotNull().alias("moved"))
+        further = cut(further)
+        rows = further.drop("moved")
+        if further.filter("moved").isEmpty():
+            break
     heads = rows.join(links.select(F.col(end).alias("s")), "s", "left_anti")
     return heads.select(F.col("s").alias("first"), F.col("e").alias("last"), F.col("n").alias("length"), F.exp("v").alias("product"))

@@ -83,9 +83,12 @@ def filing_deadlines(spark, sf_dir):
 def missing_sessions(spark, sf_dir):
     """Sessions between a region's first and last bar on which it has none, by year; and bars on days that are none."""
     bars = region_bars(spark, sf_dir).select("symbol", "date")
-    sessions = C.calendar(spark, "1994-12-01", "2003-01-31").filter("is_session").select("date")
+    first, last = bars.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return bars.select("symbol", F.year("date").alias("year"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("n"))
+    sessions = C.calendar(spark, str(first), str(last)).filter("is_session").select("date")
     spans = bars.groupBy("symbol").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    expected = sessions.crossJoin(F.broadcast(spans)).filter("date between first and last").select("symbol", "date")
+    expected = spans.select("symbol", F.explode(F.sequence("first", "last")).alias("date")).join(sessions, "date", "left_semi").select("symbol", "date")
     missing = expected.join(bars, ["symbol", "date"], "left_anti").withColumn("kind", F.lit("missing"))
     odd = bars.join(sessions, "date", "left_anti").withColumn("kind", F.lit("unexpected"))
     return missing.unionByName(odd).groupBy("symbol", F.year("date").alias("year"), "kind").agg(F.count("*").alias("n"))
@@ -98,7 +101,7 @@ def roll_chains(spark, sf_dir):
     steps = daily.withColumn("next", F.lead("date").over(W.series(["o_custkey"])))
     name = lambda c: F.concat_ws("@", "o_custkey", c)
     bills = steps.withColumn("end", F.when(F.datediff("next", "date") <= 60, name("next")).otherwise(F.concat(name("date"), F.lit("+")))).withColumn("start", name("date"))
-    return rounded(H.chains(bills, "start", "end", "growth", 64).filter("length >= 3").select("first", "last", "length", "product"), "product")
+    return rounded(H.chains(bills, "start", "end", "growth").filter("length >= 3").select("first", "last", "length", "product"), "product")
 
 
 def latest_versions(spark, sf_dir):

@@ -49,8 +49,17 @@ def test_normal_cdf(spark):
 
 
 def test_easter(spark):
-    got = spark.range(1900, 2100).select("id", C.easter(F.col("id")).alias("e")).collect()
-    assert all(r.e == easter(r.id) for r in got)
+    got = C.easter_days(spark, 1900, 2099).collect()
+    assert len(got) == 200 and all(r.easter == easter(r.year) for r in got)
+
+
+def test_chains_of_any_length_are_maximal(spark):
+    from moodtide.operators import holdings as H
+
+    links = [(f"a{i}", f"a{i + 1}", 1.01) for i in range(500)] + [("x", "y", 2.0), ("p", "q", 3.0), ("q", "r", 0.5)]
+    got = {(r["first"], r["last"], r.length): r["product"] for r in H.chains(spark.createDataFrame(links, "s string, e string, v double"), "s", "e", "v").collect()}
+    assert set(got) == {("a0", "a500", 500), ("x", "y", 1), ("p", "r", 2)}
+    assert abs(got[("p", "r", 2)] - 1.5) < 1e-9 and abs(got[("a0", "a500", 500)] / 1.01**500 - 1) < 1e-9
 
 
 def test_numbers_in_texts(spark):
