@@ -96,7 +96,7 @@ def cross_market(signals: DataFrame, prices: DataFrame, days: int = 7) -> DataFr
     from .windows import as_of
 
     pairs = prices.select(F.col("market").alias("traded"), "date", "close")
-    fresh = as_of(pairs.select("traded", "date"), signals.filter("score is not null").select(F.col("market").alias("signal"), "date", "score").crossJoin(F.broadcast(prices.select(F.col("market").alias("traded")).distinct())), ["traded"], ["score"], days, ("signal",))
+    fresh = as_of(pairs.select("traded", "date"), signals.filter("score is not null").select(F.col("market").alias("signal"), "date", "score").crossJoin(prices.select(F.col("market").alias("traded")).distinct()), ["traded"], ["score"], days, ("signal",))
     return fresh.filter("signal != traded and score is not null").join(pairs, ["traded", "date"])
 
 

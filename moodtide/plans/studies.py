@@ -143,7 +143,7 @@ def peer_gaps(spark, sf_dir):
     bars = region_bars(spark, sf_dir).select("symbol", "date")
     days = slot_bars(spark, sf_dir).select("date").distinct()
     names = bars.select("symbol").distinct()
-    lacking = days.crossJoin(F.broadcast(names)).join(bars, ["symbol", "date"], "left_anti")
+    lacking = days.crossJoin(names).join(bars, ["symbol", "date"], "left_anti")
     peers = bars.groupBy("date").agg(F.count("*").alias("have"))
     kind = F.when(F.col("have").isNull(), "all").when(F.col("have") == 4, "own").otherwise("some")
     return lacking.join(peers, "date", "left").groupBy("symbol", kind.alias("kind")).agg(F.count("*").alias("n"))
