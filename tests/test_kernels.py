@@ -10,7 +10,7 @@ from dateutil.easter import easter
 from pyspark.sql import functions as F
 
 from moodtide.functions import numbers as N, texts
-from moodtide.operators import calendars as C, models as M, policies as K, positions as P, stats as T, studies as D, windows as W
+from moodtide.operators import calendars as C, models as M, observations as B, policies as K, positions as P, stats as T, studies as D, windows as W
 from moodtide.sources import filings as R
 
 
@@ -249,3 +249,44 @@ def test_fund_report(spark):
     xml = "<formData><genInfo><regCik>1234</regCik><seriesId>S1</seriesId><repPdDate>2026-06-30</repPdDate></genInfo><fundInfo><netAssets>100.5</netAssets></fundInfo><invstOrSecs><invstOrSec><name>CUT NAM</name><title>Cut Name Corporation</title><cusip>037833100</cusip><identifiers><isin value='US0378331005'/></identifiers><balance>5</balance><valUSD>50</valUSD><assetCat>EC</assetCat></invstOrSec><invstOrSec><name>First Money Market</name><title>5% Notes</title><cusip>000000000</cusip><balance>1</balance><valUSD>1</valUSD><assetCat>STIV</assetCat></invstOrSec></invstOrSecs></formData>"
     rows = R.fund_reports(spark.createDataFrame([(xml,)], "xml string")).collect()
     assert [(r.name, r.cusip, r.isin, r.cik, r.net_assets) for r in rows] == [("Cut Name Corporation", "037833100", "US0378331005", "0000001234", 100.5), ("First Money Market", None, None, "0000001234", 100.5)]
+
+
+def test_freshness_of_files(spark):
+    d = dt.date
+    checked, session = d(2024, 5, 31), d(2024, 6, 3)
+    df = spark.createDataFrame([(x, checked, session) for x in (d(2024, 6, 3), d(2024, 6, 4), d(2024, 5, 31), d(2024, 5, 26), d(2024, 5, 25))], "file date, checked date, session date")
+    got = [r.s for r in df.select(B.freshness(F.col("file"), F.col("checked"), F.col("session")).alias("s")).collect()]
+    assert got == ["next", "future", "fresh", "fresh", "stale"]
+
+
+def test_newest_observation(spark):
+    d = dt.date
+    history = spark.createDataFrame([("a", d(2024, 1, 1), 10.0), ("a", d(2024, 1, 2), 11.0), ("b", d(2024, 1, 2), 5.0), ("c", d(2024, 1, 9), None), ("e", d(2024, 1, 3), 7.0)], "k string, date date, nav double")
+    daily = spark.createDataFrame([("a", d(2024, 1, 1), 10.0, 1.0), ("b", d(2024, 1, 2), 5.5, 2.0), ("c", d(2024, 1, 1), 3.0, None), ("d", None, 1.0, 0.0)], "k string, date date, nav double, change double")
+    got = {r.k: (r.nav, r.change and round(r.change, 6), r.source, r.lags) for r in B.newest_observation(daily, history, ["k"]).collect()}
+    assert got == {"a": (11.0, 10.0, "historical", True), "b": (5.5, 2.0, "daily", False), "c": (3.0, None, "daily", False), "e": (7.0, None, "historical", False)}
+
+
+def test_totals_against_declared(spark):
+    rows = spark.createDataFrame([("a", 5), ("a", 6), ("b", 1)], "k string, v long")
+    declared = spark.createDataFrame([("a", 2, 11), ("b", 2, 1), ("c", 1, 4), ("d", 0, 0)], "k string, declared_n long, declared_total long")
+    assert {r.k: r.problem for r in B.total_mismatches(rows, declared, ["k"], "v").collect()} == {"b": "entries", "c": "entries and value"}
+
+
+def test_sign_summary(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", -0.5), ("a", 2.0), ("b", 1.0), ("b", -1.0), ("c", None)], "k string, slope double")
+    got = {r.k: (r.blocks, r.positive, r.negative, r.zero, r.dominant) for r in B.sign_summary(df, ["k"], "slope").collect()}
+    assert got == {"a": (3, 2, 1, 0, "positive"), "b": (2, 1, 1, 0, None), "c": (1, 0, 0, 1, None)}
+
+
+def test_order_of_fund_reports(spark):
+    kind = "cik int, accession string, form string, report string, filed string, accepted string, document string"
+    rows = [(1, "a", "NPORT-P", "2024-03-31", "2024-05-01", None, None), (1, "b", "NPORT-P/A", "2024-03-31", "2024-05-02", "2024-05-02T1", "x/p.xml"), (1, "c", "NPORT-P", "2024-06-30", "2024-08-01", None, "d/"), (1, "d", "NPORT-P", None, "2024-08-01", None, None), (1, "e", None, "2024-06-30", "2024-08-01", None, None)]
+    got = [(r.accession, r.document) for r in B.report_order(spark.createDataFrame(rows, kind), ["cik"]).orderBy("place").collect()]
+    assert got == [("c", "primary_doc.xml"), ("b", "p.xml"), ("a", "primary_doc.xml")]
+
+
+def test_quotes_of_short_series(spark):
+    d = dt.date
+    df = spark.createDataFrame([("a", d(2024, 1, i), p, c) for i, p, c in ((1, 1.0, 1.0), (2, 2.0, None), (3, 3.0, 3.0))] + [("b", d(2024, 1, 1), 4.0, 4.0)], "symbol string, date date, price double, close double")
+    assert {r.symbol: (r.price, r.previous) for r in B.quotes(df, ["symbol"]).collect()} == {"a": (3.0, 1.0), "b": (4.0, None)}
