@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +81,19 @@ def sub_periods(bars: DataFrame, keys: list[str], starts: list[str]) -> DataFram
     which = sum(((F.col("date") >= F.lit(s).cast("date")).cast("int") for s in starts), F.lit(0))
     steps = bars.withColumn("r", W.log_return(F.col("close"), keys)).filter("r is not null").withColumn("period", which)
     return steps.groupBy(*keys, "period").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"), F.exp(F.sum("r")).alias("growth"), F.stddev_samp("r").alias("sd"))
+
+
+def path_summary(path: DataFrame, keys: list[str], per_year: float) -> DataFrame:
+    """Intervals, factor, annual log return, volatility and deepest fall of paths of wealth by index; valid tells whether the indices are
+    consecutive and all wealth is above zero. Paths of one row have no intervals and null figures."""
+    w = W.series(keys, "index")
+    up_to_now = w.rowsBetween(Window.unboundedPreceding, 0)
+    steps = path.withColumn("r", F.try_divide(F.col("wealth"), F.lag("wealth").over(w)) - 1).withColumn("step", F.col("index") - F.lag("index").over(w))
+    steps = steps.withColumn("fall", 1 - F.try_divide(F.col("wealth"), F.max("wealth").over(up_to_now)))
+    n = F.count("*") - 1
+    factor = F.try_divide(F.max_by("wealth", "index"), F.min_by("wealth", "index"))
+    out = steps.groupBy(*keys).agg(
+        F.min("index").alias("first"), F.max("index").alias("last"), n.alias("intervals"), F.when(n > 0, factor).alias("factor"), F.when(n > 0, F.coalesce(F.stddev_samp("r"), F.lit(0.0)) * math.sqrt(per_year)).alias("volatility"),
+        F.max("fall").alias("drawdown"), F.every(F.coalesce(F.col("step") == 1, F.lit(True)) & F.coalesce(F.col("wealth") > 0, F.lit(False))).alias("valid"),
+    )
+    return out.withColumn("annual_log", F.when(F.col("factor") > 0, F.ln("factor") * per_year / F.col("intervals")))

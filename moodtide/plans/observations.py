@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calendars as C, observations as B
+from ..operators import calendars as C, observations as B, windows as W
 from ..sources.bars import REGION_SQL, SLOT_SQL, cents, region_bars, slot_bars, table
 from .disclosure import CAL_SQL
 from .sentiment import rounded
@@ -85,7 +85,14 @@ def sub_periods(spark, sf_dir):
     return rounded(B.sub_periods(region_bars(spark, sf_dir), S, STARTS), "growth", "sd")
 
 
-QUERIES = {f.__name__: f for f in (report_order, declared_totals, newest_observation, file_freshness, quotes, slope_signs, carried_components, holder_totals, sub_periods)}
+def path_summary(spark, sf_dir):
+    """Closes as wealth by their number within a region; one region's tenth is missing."""
+    path = region_bars(spark, sf_dir).withColumn("index", F.row_number().over(W.series(S))).withColumnRenamed("close", "wealth")
+    out = B.path_summary(path.filter("symbol <> 'ASIA' or index <> 10"), S, 252)
+    return rounded(out, "factor", "volatility", "drawdown", "annual_log")
+
+
+QUERIES = {f.__name__: f for f in (report_order, declared_totals, newest_observation, file_freshness, quotes, slope_signs, carried_components, holder_totals, sub_periods, path_summary)}
 
 ORACLES = {
     "report_order": """with f as (select o_custkey, o_orderkey as k, o_orderdate::date as d, strftime(last_day((o_orderdate::date - interval 2 month)::date), '%Y-%m-%d') as report from orders where o_orderkey % 4 <> 2 and o_orderkey % 9 <> 0)
@@ -117,4 +124,8 @@ select symbol, r.month, string_agg(symbol || '.' || slot || '@' || strftime(as_o
     "sub_periods": f"""with {REGION_SQL}, s as (select *, ln(close / lag(close) over (partition by symbol order by date)) as r from region_bars),
 p as (select *, {" + ".join(f"(date >= date '{x}')::int" for x in STARTS)} as period from s where r is not null)
 select symbol, period, min(date) as first, max(date) as last, count(*) as n, round(exp(sum(r)), 6) as growth, round(stddev_samp(r), 6) as sd from p group by 1, 2""",
+    "path_summary": f"""with {REGION_SQL}, p as (select symbol, close as wealth, row_number() over (partition by symbol order by date) as i from region_bars qualify symbol <> 'ASIA' or i <> 10),
+s as (select *, wealth / lag(wealth) over w - 1 as r, i - lag(i) over w as step, 1 - wealth / max(wealth) over (partition by symbol order by i rows unbounded preceding) as fall from p window w as (partition by symbol order by i)),
+g as (select symbol, min(i) as first, max(i) as last, count(*) - 1 as intervals, arg_max(wealth, i) / arg_min(wealth, i) as f, stddev_samp(r) * sqrt(252.0) as v, max(fall) as d, bool_and(coalesce(step = 1, true)) as valid from s group by 1)
+select symbol, first, last, intervals, round(f, 6) as factor, round(v, 6) as volatility, round(d, 6) as drawdown, valid, round(ln(f) * 252 / intervals, 6) as annual_log from g""",
 }

@@ -74,7 +74,46 @@ def cash_rows(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", R.cash_like(F.when(k % 11 != 0, category), name, ("P13", "P14"), F.concat(F.lit("P"), k)).alias("cash"))
 
 
-QUERIES = {f.__name__: f for f in (top_up, gauge_readings, ratio_readings, fixed_width_rows, padded_information, first_entries, venues, cash_rows)}
+def _tag(name, value):
+    return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+
+
+def filing_headers(spark, sf_dir):
+    """Cover documents of orders: some amend, some name the period in the header only, a total of some isn't a number."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "MM-dd-yyyy")
+    quarter = F.when(k % 3 != 0, _tag("reportCalendarOrQuarter", day)).otherwise("")
+    amends = F.when(k % 4 == 0, F.lit("<isAmendment>true</isAmendment><amendmentInfo><amendmentType>RESTATEMENT</amendmentType></amendmentInfo>")).when(k % 4 == 1, "<isAmendment>false</isAmendment>").otherwise("")
+    total = F.when(k % 10 == 0, "many").otherwise(cents(F.col("o_totalprice")).cast("string"))
+    cover = _tag("coverPage", F.concat(quarter, amends, _tag("filingManager", _tag("name", F.concat(F.lit("Manager "), "o_custkey"))), F.lit("<reportType>13F HOLDINGS REPORT</reportType>")))
+    form = _tag("formData", F.concat(cover, _tag("summaryPage", F.concat(_tag("tableEntryTotal", (k % 50).cast("string")), _tag("tableValueTotal", total)))))
+    xml = _tag("edgarSubmission", F.concat(_tag("headerData", _tag("filerInfo", _tag("periodOfReport", day))), form))
+    return R.filing_headers(table(spark, sf_dir, "orders").select("o_orderkey", xml.alias("xml")))
+
+
+def fund_holdings(spark, sf_dir):
+    """Lines of an order as a fund's report in XML; names of even parts are cut and completed from the title."""
+    k, c = F.col("l_partkey").cast("string"), cents(F.col("l_extendedprice"))
+    title = F.concat(F.lit("PART "), k, F.lit(" ORDINARY"))
+    cusip = F.when(F.col("l_partkey") % 5 != 0, F.lpad(k, 9, "0")).otherwise("N/A")
+    fields = [_tag("name", F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("Part "), k)).otherwise("Other")), _tag("title", title), _tag("cusip", cusip), F.concat(F.lit('<identifiers><isin value="US'), k, F.lit('"/></identifiers>'))]
+    fields += [_tag("balance", F.col("l_quantity").cast("long").cast("string")), _tag("valUSD", c.cast("string")), F.lit("<assetCat>EC</assetCat>")]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", c.alias("c"), _tag("invstOrSec", F.concat(*fields)).alias("x"))
+    docs = lines.groupBy("l_orderkey").agg(F.max(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("d"), F.sum("c").cast("string").alias("t"), F.array_join(F.collect_list("x"), "").alias("x"))
+    info = F.concat(F.lit("<genInfo><regCik>77</regCik><seriesId>S1</seriesId>"), _tag("repPdDate", F.col("d")), F.lit("</genInfo>"), _tag("fundInfo", _tag("netAssets", F.col("t"))))
+    rows = R.fund_reports(docs.select("l_orderkey", _tag("formData", F.concat(info, _tag("invstOrSecs", F.col("x")))).alias("xml")))
+    return rows.select("l_orderkey", "cik", "series", "report", "net_assets", "name", "cusip", "isin", "balance", "value", "category")
+
+
+def latest_readings(spark, sf_dir):
+    """A customer's orders as readings, one document for each thousand keys; some are no numbers."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    value = F.when(k % 8 == 0, "n/a").otherwise((cents(F.col("o_totalprice")) % 101).cast("string"))
+    reading = F.struct(k.alias("k"), value.alias("value"), F.concat(F.lit("c"), k % 5).alias("value_classification"), F.unix_seconds(day.cast("timestamp")).cast("string").alias("timestamp"))
+    docs = table(spark, sf_dir, "orders").groupBy("o_custkey", F.floor(k / 1000).alias("page")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(reading)).alias("data"))).alias("payload"))
+    return R.latest_readings(docs, ["o_custkey", "page"])
+
+
+QUERIES = {f.__name__: f for f in (top_up, gauge_readings, ratio_readings, fixed_width_rows, padded_information, first_entries, venues, cash_rows, filing_headers, fund_holdings, latest_readings)}
 
 _PARTS = "with p as (select l_partkey as k, sum(round(l_extendedprice * 100)::bigint)::bigint as c, sum(l_quantity)::bigint as q from lineitem group by 1)"
 ORACLES = {
@@ -88,4 +127,12 @@ ORACLES = {
   when '^STOXX' then 'STOXX Europe index' when '^OMXSBGI' then 'Stockholm-listed' when '^GSPC' then 'index' else 'US-listed' end as venue
 from (select ['0P0001.ST', 'X.L', 'X.DE', 'X.ST', 'BTC-USD', '^VIX', '^STOXX', '^OMXSBGI', '^GSPC', 'AAPL'][(s_suppkey % 10 + 1)::int] as symbol from supplier) group by 1""",
     "cash_rows": "select p_partkey, (p_partkey % 11 <> 0 and p_partkey % 6 in (1, 3)) or p_partkey % 5 = 0 or p_partkey in (13, 14) as cash from part",
+    "filing_headers": """select o_orderkey, 'Manager ' || o_custkey as manager, o_orderdate::date as report, o_orderkey % 4 = 0 as amends, case when o_orderkey % 4 = 0 then 'RESTATEMENT' end as amendment_type,
+'13F HOLDINGS REPORT' as report_type, o_orderkey % 50 as entries, case when o_orderkey % 10 <> 0 then round(o_totalprice * 100)::bigint end as value from orders""",
+    "fund_holdings": """with l as (select l_orderkey, l_partkey as k, l_shipdate::date as d, round(l_extendedprice * 100)::bigint as c, l_quantity::bigint as q from lineitem)
+select l_orderkey, '0000000077' as cik, 'S1' as series, max(d) over w as report, (sum(c) over w)::double as net_assets, case when k % 2 = 0 then 'PART ' || k || ' ORDINARY' else 'Other' end as name,
+case when k % 5 <> 0 then lpad(k::varchar, 9, '0') end as cusip, 'US' || k as isin, q::double as balance, c::double as value, 'EC' as category from l window w as (partition by l_orderkey)""",
+    "latest_readings": """with r as (select o_custkey, o_orderkey // 1000 as page, o_orderdate::date as d, o_orderkey as k, ((round(o_totalprice * 100)::bigint) % 101)::double as v from orders where o_orderkey % 8 <> 0)
+select o_custkey, page, d as date, v as value, 'c' || k % 5 as label, lead(d) over w as previous_date, lead(v) over w as previous from r
+window w as (partition by o_custkey, page order by d desc, k) qualify row_number() over w = 1""",
 }

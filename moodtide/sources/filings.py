@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
@@ -134,3 +134,27 @@ def event_props(events: DataFrame) -> DataFrame:
     """day, event_type, n, k_sum: events by day and type with the number in their JSON."""
     k = F.from_json("props", "k bigint")["k"]
     return events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k_sum"))
+
+
+HEADER = "headerData struct<filerInfo: struct<periodOfReport: string>>, formData struct<coverPage: struct<reportCalendarOrQuarter: string, isAmendment: string, amendmentInfo: struct<amendmentType: string>, filingManager: struct<name: string>, reportType: string>, summaryPage: struct<tableEntryTotal: string, tableValueTotal: string>>"
+
+
+def filing_headers(docs: DataFrame, xml: str = "xml") -> DataFrame:
+    """manager, report date (the quarter's, else the period's), whether and how it amends, kind and declared totals of 13F cover documents."""
+    kept = [c for c in docs.columns if c != xml]
+    d = docs.select(*kept, F.from_xml(F.col(xml), HEADER, {"ignoreNamespace": "true"}).alias("d"))
+    cover, total = "d.formData.coverPage", lambda c: texts.strict_number(F.col(f"d.formData.summaryPage.{c}")).cast("long")
+    report = texts.sec_date(F.coalesce(f"{cover}.reportCalendarOrQuarter", "d.headerData.filerInfo.periodOfReport"))
+    amends = F.coalesce(F.lower(F.trim(f"{cover}.isAmendment")).isin("true", "1", "yes"), F.lit(False))
+    return d.select(*kept, F.col(f"{cover}.filingManager.name").alias("manager"), report.alias("report"), amends.alias("amends"), F.col(f"{cover}.amendmentInfo.amendmentType").alias("amendment_type"), F.col(f"{cover}.reportType").alias("report_type"), total("tableEntryTotal").alias("entries"), total("tableValueTotal").alias("value"))
+
+
+def latest_readings(docs: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
+    """date, value and label of the latest reading of a gauge document and of the one before it; of equal times the first; no numbers, no reading."""
+    rows = docs.select(*keys, F.posexplode(F.from_json(payload, "data array<struct<value: string, value_classification: string, timestamp: string>>")["data"]).alias("i", "r"))
+    at, value = F.col("r.timestamp").try_cast("bigint"), F.col("r.value").try_cast("double")
+    rows = rows.select(*keys, "i", at.alias("at"), value.alias("value"), F.coalesce("r.value_classification", F.lit("")).alias("label")).filter("at is not null and value is not null and not isnan(value)")
+    w = Window.partitionBy(*keys).orderBy(F.desc("at"), "i")
+    day = lambda c: F.to_date(F.timestamp_seconds(c))
+    both = rows.withColumn("place", F.row_number().over(w)).withColumn("at_before", F.lead("at").over(w)).withColumn("previous", F.lead("value").over(w)).filter("place = 1")
+    return both.select(*keys, day(F.col("at")).alias("date"), "value", "label", day(F.col("at_before")).alias("previous_date"), "previous")
