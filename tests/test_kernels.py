@@ -290,3 +290,17 @@ def test_quotes_of_short_series(spark):
     d = dt.date
     df = spark.createDataFrame([("a", d(2024, 1, i), p, c) for i, p, c in ((1, 1.0, 1.0), (2, 2.0, None), (3, 3.0, 3.0))] + [("b", d(2024, 1, 1), 4.0, 4.0)], "symbol string, date date, price double, close double")
     assert {r.symbol: (r.price, r.previous) for r in B.quotes(df, ["symbol"]).collect()} == {"a": (3.0, 1.0), "b": (4.0, None)}
+
+
+def test_malformed_documents_give_nothing(spark):
+    docs = spark.createDataFrame([(1, None), (2, "{"), (3, '{"data": [{"value": "x", "timestamp": "1"}, {"value": "5", "timestamp": null}]}'), (4, '{"data": [{"value": "7", "timestamp": "86400"}, {"value": "8", "timestamp": "86400"}]}')], "k int, payload string")
+    assert [(r.k, r.value, r.previous, r.label) for r in R.latest_readings(docs, ["k"]).collect()] == [(4, 7.0, 8.0, "")]
+    covers = spark.createDataFrame([(1, "<e><formData><coverPage><isAmendment>YES</isAmendment></coverPage></formData></e>"), (2, None)], "k int, xml string")
+    got = {r.k: (r.manager, r.report, r.amends, r.entries) for r in R.filing_headers(covers).collect()}
+    assert got == {1: (None, None, True, None), 2: (None, None, False, None)}
+
+
+def test_path_with_a_gap(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 1.0), ("b", 1, 1.0), ("b", 3, 2.0), ("c", 5, 1.0), ("d", 1, 0.0), ("d", 2, 1.0)], "k string, index int, wealth double")
+    got = {r.k: (r.intervals, r.factor, r.drawdown, r.valid) for r in B.path_summary(df, ["k"], 252).collect()}
+    assert got["a"] == (2, 1.0, 0.5, True) and got["b"] == (1, 2.0, 0.0, False) and got["c"][0] == 0 and got["c"][1] is None and got["c"][3] and not got["d"][3]
