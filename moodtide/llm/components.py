@@ -11,13 +11,13 @@ from .common import drop_materialised, materialise
 PARTS = 64
 
 
-def joined_by_parts(rows: DataFrame, values: DataFrame, key: str | list[str], spread: Column) -> DataFrame:
-    """rows joined with values, which has one row per key, without bringing all rows of a key together: they are dealt into parts by a hash of
+def joined_by_parts(rows: DataFrame, values: DataFrame, key: str | list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with values, which has one row per key, without bringing all rows of a key together: they are dealt into parts by a hash of
     `spread`, and the key's value goes to each of its parts, of which it has PARTS or as many as rows."""
     dealt = rows.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int"))
     keys = [key] if isinstance(key, str) else key
     parts = dealt.select(*keys, "__part").distinct().join(values, keys)
-    return dealt.join(parts, [*keys, "__part"]).drop("__part")
+    return dealt.join(parts, [*keys, "__part"], how).drop("__part")
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
