@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import displayed
+from . import scan
 from .windows import full_mean, over, series
 
 
@@ -60,17 +61,10 @@ _POSITION = T.StructType([T.StructField("position", T.DoubleType())])
 
 
 def fear_then_time(df: DataFrame, keys: list[str], fear: float, hold: int) -> DataFrame:
-    """In for `hold` bars after a score at or below `fear`; no new entry meanwhile."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        position, busy = [0.0] * len(pdf), -1
-        for i, s in enumerate(pdf["_shown"][:-1]):
-            if i > busy and pd.notna(s) and s <= fear:
-                busy = i + hold
-                position[i + 1 : busy + 1] = [1.0] * len(position[i + 1 : busy + 1])
-        return pdf.assign(position=position)
-
-    return folded(df.withColumn("_shown", displayed(F.col("score"))), keys, _POSITION, fold).drop("_shown")
+    """In for `hold` bars after a score at or below `fear`; no new entry meanwhile. The state is the number of bars left."""
+    enter = F.coalesce(displayed(F.col("score")) <= fear, F.lit(False))
+    steps = [F.when(enter, hold).otherwise(0), *(F.lit(left - 1) for left in range(1, hold + 1))]
+    return scan.states(df, keys, steps, 0).withColumn("position", (F.col("before") > 0).cast("double")).drop("before", "after")
 
 
 def continuous(df: DataFrame, keys: list[str], contrarian: bool, band: float = 0.10) -> DataFrame:
@@ -89,23 +83,22 @@ def continuous(df: DataFrame, keys: list[str], contrarian: bool, band: float = 0
 
 
 def armed_trend(df: DataFrame, keys: list[str], fear: float, greed: float, days: int = 90) -> DataFrame:
-    """A fear score arms a purchase for `days`, renewed by further ones; it is carried out once `trend_up`. Greed disarms and sells."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        position, armed, out = 1.0, None, []
-        for date, s, up in zip(pd.to_datetime(pdf["date"]), pdf["_shown"], pdf["trend_up"]):
-            out.append(position)
-            if pd.notna(s) and s <= fear:
-                armed = date
-            if pd.notna(s) and s >= greed:
-                position, armed = 0.0, None
-            elif armed is not None and (date - armed).days > days:
-                armed = None
-            elif armed is not None and up and position == 0.0:
-                position, armed = 1.0, None
-        return pdf.assign(position=out)
-
-    return folded(df.withColumn("_shown", displayed(F.col("score"))), keys, _POSITION, fold).drop("_shown")
+    """A fear score arms a purchase for `days`, renewed by further ones; it is carried out once `trend_up`. Greed disarms and sells.
+
+    States: out, out and armed, in, in and armed. While armed, the date that counts is that of the last fear score, whatever the state was."""
+    shown = F.coalesce(displayed(F.col("score")), F.lit((int(fear) + int(greed)) // 2))
+    fearful, greedy, up = shown <= fear, shown >= greed, F.coalesce(F.col("trend_up"), F.lit(False))
+    since = F.last(F.when(displayed(F.col("score")) <= fear, F.col("date")), ignorenulls=True).over(over(keys))
+    rows = df.withColumn("_stale", F.coalesce(F.datediff("date", since) > days, F.lit(False)))
+
+    def leads(invested: bool, armed: bool) -> Column:
+        is_armed = F.lit(True) if armed else fearful
+        kept = 2 if invested else 0
+        carried_out = F.lit(False) if invested else is_armed & up
+        return F.when(greedy, 0).when(is_armed & F.col("_stale"), kept).when(carried_out, 2).when(is_armed, kept + 1).otherwise(kept)
+
+    done = scan.states(rows, keys, [leads(False, False), leads(False, True), leads(True, False), leads(True, True)], 2)
+    return done.withColumn("position", (F.col("before") >= 2).cast("double")).drop("before", "after", "_stale")
 
 
 def wealth(df: DataFrame, keys: list[str], cost: Column | float = 0.0, borrow: float = 0.0, cash: Column | None = None) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import outcomes as O, positions as P, signals as G, windows as W
-from ..sources.bars import REGION_SQL, SLOT_SQL, region_bars, slot_bars, table
+from ..functions.numbers import half_up
+from ..operators import outcomes as O, policies as K, positions as P, signals as G, windows as W
+from ..sources.bars import REGION_SQL, SLOT_SQL, SLOTS, region_bars, slot_bars, table
 from .outcomes import momentum_scores
 from .sentiment import rounded
 from .trading import DAMPED, HYST, S, _terminal, event_sql, scored, wealth_sql
@@ -36,15 +37,23 @@ def relative_appetite(spark, sf_dir):
     return rounded(G.relative_appetite(region_bars(spark, sf_dir), safe, S), "appetite", "appetite_score")
 
 
-def strict_composite(spark, sf_dir):
-    """The mean of five normalised components on dates on which all of them are there, to one decimal."""
+def six_components(spark, sf_dir):
+    """symbol, date and the six normalised components, on dates on which all are there; breadth is the participation of the segments."""
     bars, slots = region_bars(spark, sf_dir), slot_bars(spark, sf_dir)
     own = G.sigma_components(bars, S)
     safe = G.relative_appetite(bars, slots.filter("symbol = 'A'"), S).select("symbol", "date", F.col("appetite_score").alias("safe"))
     credit = G.relative_appetite(slots.filter("symbol = 'N'"), slots.filter("symbol = 'R'"), S).select("date", F.col("appetite_score").alias("credit"))
-    rows = own.join(safe, ["symbol", "date"]).join(credit, "date")
-    mean = (F.col("trend_score") + F.col("strength_score") + F.col("volatility_score") + F.col("safe") + F.col("credit")) / 5
-    return rounded(rows.select("symbol", "date", mean.alias("score")).filter("score is not null"), "score")
+    segments = slots.filter(F.col("symbol").isin(SLOTS["small"], SLOTS["large"])).withColumn("market", F.lit("all"))
+    breadth = K.participation(segments, ["market"], "symbol").select("date", F.col("score").alias("breadth"))
+    scores = [F.col(f"{c}_score").alias(c) for c in ("trend", "strength", "volatility")]
+    return own.join(safe, ["symbol", "date"]).join(credit, "date").join(breadth, "date").select("symbol", "date", *scores, "safe", "credit", "breadth").dropna()
+
+
+def strict_composite(spark, sf_dir):
+    """The mean of the six normalised components, all of which are required, exact and to one decimal."""
+    rows = six_components(spark, sf_dir)
+    mean = sum(F.col(c) for c in rows.columns[2:]) / 6
+    return rounded(rows.select("symbol", "date", mean.alias("score")).withColumn("rounded", half_up(F.col("score"), 1)), "score")
 
 
 def label_rules(spark, sf_dir):
@@ -192,9 +201,6 @@ select symbol, max(date) as last, count(*) as n from region_bars join f using (s
 select o_orderkey, case t when 0 then 'Extreme Fear' when 1 then 'Fear' when 2 then 'Neutral' when 3 then 'Extreme Greed' else {_BAND} end as label from o""",
     "sigma_components": f"with {REGION_SQL}, {_MOVED}, {_RAW} select symbol, date, round(trend, 6) as trend, round(strength, 6) as strength, round(volatility, 6) as volatility, round(trend_score, 6) as trend_score, round(case when strength is not null then strength_score end, 6) as strength_score, round(case when volatility is not null then volatility_score end, 6) as volatility_score from comps",
     "relative_appetite": f"with {REGION_SQL}, {SLOT_SQL}, {_appetite('select * from region_bars', _A, 'p')} select symbol, date, round(appetite, 6) as appetite, round(case when appetite is not null then {_C('50 + 25 * appetite')} end, 6) as appetite_score from p",
-    "strict_composite": f"""with {REGION_SQL}, {SLOT_SQL}, {_MOVED}, {_RAW}, {_appetite('select * from region_bars', _A, 'p')}, {_appetite(_N, _R, 'q')}
-select c.symbol, c.date, round((trend_score + strength_score + volatility_score + {_C('50 + 25 * p.appetite')} + {_C('50 + 25 * q.appetite')}) / 5, 6) as score from comps c join p on c.symbol = p.symbol and c.date = p.date join q on c.date = q.date
-where strength is not null and volatility is not null and p.appetite is not null and q.appetite is not null""",
     "label_rules": f"""with {DAMPED}, l as (select *, {_BAND} as label from b), g as (select l.*, rule, labels from l, (values ('fear_only', 'Extreme Fear,Fear'), ('not_extreme_greed', 'Extreme Fear,Fear,Neutral,Greed'), ('greed_only', 'Greed,Extreme Greed'), ('not_extreme_fear', 'Fear,Neutral,Greed,Extreme Greed')) t(rule, labels)),
 p as (select *, coalesce(lag(list_contains(string_split(labels, ','), label)::int) over (partition by symbol, rule order by date), 0)::double as position from g), {wealth_sql('0.001', key='symbol, rule')}
 select symbol, rule, round(max_by(wealth, date), 6) as wealth, max(turnover) as turnover, round(avg(position), 6) as exposure from w group by 1, 2""",

@@ -107,6 +107,11 @@ def wealth_sql(cost: str, borrow: str = "0", source: str = "p", name: str = "w",
 {name} as (select *, exp(sum(ln(growth)) over (partition by {key} order by date)) as wealth, sum(change) over (partition by {key} order by date) as turnover from {name}1)"""
 
 
+def fold_sql(state: str, first: str, then: str, source: str = "b", name: str = "fold") -> str:
+    """A rule stepped through bar by bar: r.* is the state that the bar x finds. state: column names, first: their values on bar 0."""
+    return f"{name}_bars as materialized (select * from {source}), {name} as (select symbol, i, {first} from {name}_bars where i = 0 union all select x.symbol, x.i + 1, {then} from {name} r join {name}_bars x on x.symbol = r.symbol and x.i = r.i), p as (select q.*, {state} from {name}_bars q join {name} r on q.symbol = r.symbol and q.i = r.i)"
+
+
 HYST = "case when shown >= 75 then 0 when shown <= 25 then 1 end"
 ORACLES = {
     "hysteresis": f"with {DAMPED}, {event_sql('case when i % 5 = 0 and shown >= 75 then 0 when i % 5 = 0 and shown <= 25 then 1 end', 1)}, {wealth_sql('0.0025')} select symbol, date, position, round(wealth, 6) as wealth, turnover from w",
@@ -117,6 +122,10 @@ ORACLES = {
     "trading_cycles": f"""with {DAMPED}, {event_sql(HYST, 1)}, q as (select *, lag(position) over (partition by symbol order by date) as before, i - row_number() over (partition by symbol, position order by date) as run from p), r as (select symbol, position, run, count(*) as k from q group by 1, 2, 3),
 l as (select symbol, coalesce(max(k) filter (position = 1), 0) as longest_in, coalesce(max(k) filter (position = 0), 0) as longest_out from r group by 1)
 select symbol, count(*) filter (position > before) as buys, count(*) filter (position < before) as sells, round(avg(position), 6) as invested, any_value(longest_in) as longest_in, any_value(longest_out) as longest_out from q join l using (symbol) group by symbol""",
+    "fear_then_time": f"with recursive {DAMPED}, {fold_sql('(r.lft > 0)::int::double as position', '0 as lft', 'case when lft > 0 then lft - 1 when shown <= 20 then 21 else 0 end')}, {wealth_sql('0.0025')} select symbol, date, position, round(wealth, 6) as wealth from w",
+    "continuous_exposure": f"with recursive {DAMPED}, {fold_sql('r.pos as position', '1.0::double as pos', 'case when abs((100 - score) / 100 - pos) > 0.10 then (100 - score) / 100 else pos end')} select symbol, date, round(position, 6) as position from p",
+    "armed_trend": f"""with recursive {DAMPED}, t as (select *, coalesce(close > case when count(*) over m = 200 then avg(close) over m end, false) as up from b window m as (partition by symbol order by date rows 199 preceding)),
+{fold_sql('r.pos as position', '1.0::double as pos, null::date as armed', 'case when shown >= 75 then 0 when shown > 25 and x.date - armed > 90 then pos when (shown <= 25 or armed is not null) and up then 1 else pos end, case when shown >= 75 then null when shown <= 25 and not (up and pos = 0) then x.date when shown > 25 and x.date - armed > 90 or up and pos = 0 then null else armed end', source='t')} select symbol, date, position from p""",
     "month_mean_wealth": f"""with {DAMPED}, x as (select *, lead(date) over (partition by symbol order by date) as execution from b), e as (select * from x qualify row_number() over (partition by symbol, date_trunc('month', date) order by date desc) = 1),
 m as (select *, case when count(*) over w = 10 then avg(close) over w end as mean from e window w as (partition by symbol order by date rows 9 preceding)), o as (select symbol, date, (close > mean)::int as target from m where mean is not null and execution is not null),
 j as (select b.*, target from b left join o using (symbol, date)), {event_sql('target', 1, source='j')}, c as (select p.*, cost from p, (values (0.0::double), (0.0025::double), (0.005::double), (0.01::double)) v(cost)), {wealth_sql('cost', source='c', key='symbol, cost')}
