@@ -92,9 +92,9 @@ def cash_wealth(calendar: DataFrame, yields: DataFrame, keys: list[str], percent
     return calendar.select(*keys, "date").join(whole, [*keys, "date"], "left").fillna({"wealth": 1.0, "days_without": 0})
 
 
-def banded_schedule(states: DataFrame, keys: list[str], power: float, cap: float, low: float = 0.5, band: float = 0.10) -> DataFrame:
+def banded_schedule(states: DataFrame, keys: list[str], power: Column | float, cap: Column | float, low: float = 0.5, band: float = 0.10) -> DataFrame:
     """Monthly targets min(cap, max(low, ratio^power)), kept as they are while a new one differs by less than the band. states: keys, month, ratio."""
-    asked = states.filter("ratio is not null").withColumn("asked", F.least(F.lit(cap), F.greatest(F.lit(low), F.pow("ratio", power))))
+    asked = states.filter("ratio is not null").withColumn("asked", F.least(F.lit(cap), F.greatest(F.lit(low), F.pow("ratio", F.lit(power)))))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("month")

@@ -99,22 +99,6 @@ def rebased_common(spark, sf_dir):
     return rounded(bars.join(dates, "date").select("symbol", "date", (F.col("close") / first).alias("level")), "level")
 
 
-def absolute_momentum(spark, sf_dir):
-    """At each month's end in the market if the close is above that of twelve months' ends before, else in cash at 2 % a year; the order is carried out at the next close, and sold at the end."""
-    bars = scored(spark, sf_dir).withColumn("execution", F.lead("date").over(W.series(S)))
-    ends = bars.withColumn("k", F.row_number().over(W.Window.partitionBy("symbol", F.trunc("date", "month")).orderBy(F.desc("date")))).filter("k = 1")
-    orders = ends.withColumn("before", F.lag("close", 12).over(W.series(S))).filter("before is not null and execution is not null").select("symbol", "execution", (F.col("close") > F.col("before")).cast("double").alias("target"))
-    rows = G.as_of_target(bars.select("symbol", "date", "close"), orders, S).filter("target is not null")
-    w = W.series(S)
-    held = F.lag("target").over(w)
-    cash = F.pow(F.lit(1.02), F.datediff("date", F.lag("date").over(w)) / 365.2425)
-    grown = F.coalesce(F.when(held == 1, F.col("close") / F.lag("close").over(w)).otherwise(cash), F.lit(1.0))
-    traded = F.abs(F.col("target") - F.coalesce(held, F.lit(0.0)))
-    step = rows.select("symbol", "date", "target", (F.log(grown) + traded * F.log(F.lit(0.9975))).alias("g"), traded.alias("traded"))
-    out = step.groupBy("symbol").agg(F.sum("g").alias("g"), F.sum("traded").alias("changes"), F.max_by("target", "date").alias("last"), F.count("*").alias("bars"))
-    return rounded(out.select("symbol", F.exp(F.col("g") + F.col("last") * F.log(F.lit(0.9975))).alias("wealth"), (F.col("changes") + F.col("last")).alias("changes"), "bars"), "wealth")
-
-
 def training_windows(spark, sf_dir):
     return G.training_windows(region_bars(spark, sf_dir).select("symbol", "date"), S, 3, 400)
 
@@ -167,7 +151,7 @@ def list_mismatches(spark, sf_dir):
     return both.select(F.coalesce("k", "k2").alias("s_suppkey"), F.concat_ws(", ", reasons).alias("reasons")).filter("reasons != ''")
 
 
-QUERIES = {f.__name__: f for f in (completed_bars, normalised_labels, sigma_components, relative_appetite, strict_composite, label_rules, holm_rejections, best_cells, signal_audit, rebased_common, absolute_momentum, training_windows, last_bars, common_curve, exposure_metrics, excess_labels, list_mismatches)}
+QUERIES = {f.__name__: f for f in (completed_bars, normalised_labels, sigma_components, relative_appetite, strict_composite, label_rules, holm_rejections, best_cells, signal_audit, rebased_common, training_windows, last_bars, common_curve, exposure_metrics, excess_labels, list_mismatches)}
 
 
 def _C(x: str) -> str:
@@ -213,12 +197,6 @@ select symbol, fear, greed, wealth, turnover, round(wealth / hold, 6) as ratio f
     "signal_audit": f"""with {DAMPED}, f as (select *, lead(close, 22) over (partition by symbol order by date) as later from b)
 select symbol, year(date) as year, case when score is null then 'no signal' when later is null then 'no outcome' else 'used' end as fate, count(*) as n from f group by 1, 2, 3""",
     "rebased_common": f"with {REGION_SQL}, {_COMMON.format('region_bars')} select symbol, date, round(close / first_value(close) over (partition by symbol order by date), 6) as level from region_bars join common using (date)",
-    "absolute_momentum": f"""with {DAMPED}, x as (select *, lead(date) over (partition by symbol order by date) as execution from b), e as (select * from x qualify row_number() over (partition by symbol, date_trunc('month', date) order by date desc) = 1),
-m as (select *, lag(close, 12) over (partition by symbol order by date) as before from e), o as (select symbol, execution as date, (close > before)::int as t from m where before is not null and execution is not null),
-r as (select b.symbol, b.date, b.close, last_value(t ignore nulls) over (partition by b.symbol order by b.date) as target from b left join o on b.symbol = o.symbol and b.date = o.date),
-h as (select *, lag(target) over s as held, close / lag(close) over s as up, pow(1.02, (date - lag(date) over s) / 365.2425) as cash from r where target is not null window s as (partition by symbol order by date)),
-g as (select symbol, date, target, abs(target - coalesce(held, 0)) as traded, ln(coalesce(case when held = 1 then up else cash end, 1)) as g from h)
-select symbol, round(exp(sum(g) + (sum(traded) + max_by(target, date)) * ln(0.9975::double)), 6) as wealth, sum(traded) + max_by(target, date) as changes, count(*) as bars from g group by 1""",
     "training_windows": f"""with {REGION_SQL}, y as (select distinct symbol, unnest([year(date) + 1, year(date) + 2, year(date) + 3]) as year from region_bars), s as (select symbol, min(date) as begin from region_bars group by 1)
 select y.symbol, y.year, count(*) as n, min(date) as first, max(date) as last, year(any_value(begin)) <= y.year - 3 and count(*) >= 400 as eligible from y join region_bars r on r.symbol = y.symbol and year(date) between y.year - 3 and y.year - 1 join s on s.symbol = y.symbol group by 1, 2""",
     "last_bars": f"""with {REGION_SQL}, {SLOT_SQL}, a as (select * from region_bars union all select * from slot_bars), m as (select *, case when count(*) over w = 5 then avg(close) over w end as mean5, row_number() over (partition by symbol order by date desc) as k from a window w as (partition by symbol order by date rows 4 preceding))
