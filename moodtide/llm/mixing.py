@@ -9,8 +9,8 @@ at most half of one document, and reruns agree.
 
 The subset ends at one hash per source. That bound is found digit by digit: sums over (source, next digit of
 the hash) tell the digit in which the bound lies; no task sees a whole source. Per iteration of the water-filling the
-driver gets one row. Null sources are a source of their own, after all others; null texts have size zero. Repeated rows share a hash, hence
-a fate. Empty tables give no rows. Sources of size zero take nothing.
+driver gets one row. Null sources are a source of their own, after all others; null texts have size zero. Rows that are equal in id
+and text share a hash; where the subset ends among them, as many go in as come nearest, whichever they are. Empty tables give no rows. Sources of size zero take nothing.
 """
 
 from __future__ import annotations
@@ -77,18 +77,30 @@ def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, weights, share:
         upto = F.col("before") + F.sum("n").over(Window.partitionBy("__source").orderBy("at"))
         edge = sums.withColumn("upto", upto).filter((F.col("upto") - F.col("n") < F.col("missing")) & (F.col("upto") >= F.col("missing")))
         edge = materialise(edge.select(F.col("__source").alias("s"), "missing", F.col("at").alias("edge"), (F.col("upto") - F.col("n")).alias("before")))
-    tied = inside.groupBy("__source", "__hash", "before", "missing").agg(F.sum("size").alias("n"))
+    tied = inside.groupBy("__source", "__hash", "before", "missing").agg(F.sum("size").alias("n"), F.count("*").alias("k"))
     run = F.col("before") + F.sum("n").over(Window.partitionBy("__source").orderBy("__hash"))
-    # half of what the last document adds decides whether it goes in
+    fits = F.col("run") <= F.col("missing")
+    # the first hash that doesn't fit as a whole is that of one document, or of equal rows, of which as many go in as come nearest
+    share = F.floor((F.col("missing") - F.col("run") + F.col("n")) / F.when(F.col("n") > 0, F.col("n") / F.col("k")) + 0.5)
     bound = (
         tied.withColumn("run", run)
-        .groupBy("__source").agg(F.max(F.when(F.col("run") - F.col("n") / 2 <= F.col("missing"), F.col("__hash"))).alias("last"), F.min("__hash").alias("first"))
-        .select(F.col("__source").alias("s2"), F.coalesce("last", F.col("first") - 1).alias("last"))
+        .groupBy("__source").agg(F.max(F.when(fits, F.col("__hash"))).alias("last"), F.min("__hash").alias("first"), F.min_by(F.struct(F.col("__hash").alias("hash"), "k", share.alias("m")), F.when(~fits, F.col("__hash"))).alias("part"))
+        .select(F.col("__source").alias("s2"), F.coalesce("last", F.col("first") - 1).alias("last"), F.col("part.hash").alias("part"), F.col("part.k").alias("k"), F.col("part.m").alias("m"))
     )
     # written out, so that Spark knows its size when it chooses how to join the documents with it
-    plan = materialise(goal.join(bound, F.col("__source").eqNullSafe(F.col("s2")), "left").select(F.col("__source").alias("s"), "source_size", "target", "whole", "last"))
-    extra = F.when(F.col("last").isNotNull() & (F.col("__hash") <= F.col("last")), 1).otherwise(0)
-    return sized.join(plan, F.col("__source").eqNullSafe(F.col("s"))).select("__doc", "__source", *(f"`__keep_{c}`" for c in keep), "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+    plan = materialise(goal.join(bound, F.col("__source").eqNullSafe(F.col("s2")), "left").select(F.col("__source").alias("s"), "source_size", "target", "whole", "last", "part", "k", "m"))
+    joined = sized.join(plan, F.col("__source").eqNullSafe(F.col("s")))
+    at_part = F.coalesce(F.col("__hash") == F.col("part"), F.lit(False))
+    below = F.coalesce(F.col("__hash") <= F.col("last"), F.lit(False))
+    wanted = ["__doc", "__source", *(f"`__keep_{c}`" for c in keep), "size", "source_size", "target"]
+    if plan.filter("k > 1").isEmpty():
+        return joined.select(*wanted, (F.col("whole") + (below | at_part & (F.col("m") > 0)).cast("int")).alias("copies"))
+    many = at_part & (F.col("k") > 1)
+    # the rows of such a group are numbered over all tasks, so that none sees the group
+    apart = numbered(joined.filter(many).withColumn("__tie", F.monotonically_increasing_id()), F.col("__source").asc_nulls_last(), F.col("__tie"))
+    begin = materialise(apart.groupBy("__source").agg(F.min("number").alias("__begin")).withColumnRenamed("__source", "__of"))
+    apart = apart.join(begin, F.col("__source").eqNullSafe(F.col("__of"))).select(*wanted, (F.col("whole") + (F.col("number") - F.col("__begin") < F.col("m")).cast("int")).alias("copies"))
+    return joined.filter(~many).select(*wanted, (F.col("whole") + (below | at_part & (F.col("m") > 0)).cast("int")).alias("copies")).unionByName(apart)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:

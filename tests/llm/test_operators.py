@@ -334,6 +334,19 @@ def test_mixing_meets_capped_targets(docs, rows):
     assert again == {(r.doc_id, r.copies) for r in got}
 
 
+def test_mixing_with_equal_rows(spark):
+    rows = [(7, "two words", "a", i) for i in range(100)] + [(i, "one", "b", i) for i in range(300)] + [(None, None, "b", 0)] * 5 + [(9, "x y z", "c", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, number long")
+    got = mixing.mix(docs, keep=("number",)).collect()
+    assert len(got) == len(rows)
+    for s, most in (("a", 1.0), ("b", 0.5), ("c", 1.5)):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.copies * r.size for r in mine) - mine[0].target) <= most and {r.copies for r in mine} <= {0, 1, 2}
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert Counter((r.doc_id, r.copies) for r in got) == Counter((r.doc_id, r.copies) for r in again)
+    assert sum(r.copies for r in got) == mixing.repeated(docs).count()
+
+
 def test_url_rules(spark):
     rng = np.random.default_rng(8)
     fixed = [None, "", "no scheme", "http://", "HTTP://Example.COM/en/7", "http://a.b.example.com/en/70?x#y", "x://com/en/", "http://acom/en/", "http://example.net/de/8", "http://example.net/de", "a://b://c/en/", "http://org?/es/", "http://.com/en/", "http://com./en/"]
