@@ -52,7 +52,9 @@ def valid_cusip(x: Column) -> Column:
 
 
 def padded_cusip(x: Column) -> Column:
-    return F.lpad(F.upper(F.trim(x)), 9, "0")
+    """Six to nine letters and digits, whatever white space is among them, with the zeros that they lost; null for anything else."""
+    plain = F.upper(F.regexp_replace(x, r"\s+", ""))
+    return F.when(plain.rlike("^[0-9A-Z]{6,9}$"), F.lpad(plain, 9, "0"))
 
 
 def cik(x: Column) -> Column:
@@ -63,17 +65,13 @@ def security_key(cusip: Column, title: Column, put_call: Column) -> Column:
     return F.concat_ws("|", cusip, F.upper(F.trim(title)), F.coalesce(put_call, F.lit("")))
 
 
+#: What a symbol's end, the whole symbol or its start tells of its listing; the first that fits counts.
+VENUES = (
+    (r"0P[0-9A-Z]+\.ST", "Stockholm fund NAV"), (r".*\.L", "London-listed"), (r".*\.DE", "Xetra-listed"), (r".*\.ST", "Stockholm-listed"), (r".*-USD", "crypto"), (r"\^VIX|\^VXN", "US-listed"),
+    (r"\^STOXX", "STOXX Europe index"), (r"\^OMXSBGI", "Stockholm-listed"), (r"\^.*", "index"), (r".*", "US-listed"),
+)
+
+
 def venue(symbol: Column) -> Column:
-    """The listing venue that a symbol's form tells."""
-    return (
-        F.when(symbol.rlike(r"^0P[0-9A-Z]+\.ST$"), "Stockholm fund NAV")
-        .when(symbol.endswith(".L"), "London-listed")
-        .when(symbol.endswith(".DE"), "Xetra-listed")
-        .when(symbol.endswith(".ST"), "Stockholm-listed")
-        .when(symbol.endswith("-USD"), "crypto")
-        .when(symbol.isin("^VIX", "^VXN"), "US-listed")
-        .when(symbol == "^STOXX", "STOXX Europe index")
-        .when(symbol == "^OMXSBGI", "Stockholm-listed")
-        .when(symbol.startswith("^"), "index")
-        .otherwise("US-listed")
-    )
+    """The listing venue that a symbol's form tells, looked up in VENUES."""
+    return F.coalesce(*(F.when(symbol.rlike(f"(?s)^({form})$"), F.lit(name)) for form, name in VENUES))

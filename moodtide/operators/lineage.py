@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in spark.checkpoint.dir; where that is unset, in the warehouse, or, where all run on one machine, in a temporary folder."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as cut() uses it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         alone = sc.master.split("[")[0] == "local"
         named = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="moodtide-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in spark.checkpoint.dir; where that is unset, in the warehouse, or, where all run on one machine, in a temporary folder."""
+    folder(df.sparkSession)
     return df.checkpoint()

@@ -195,3 +195,46 @@ def rotation(rows: DataFrame, keys: list[str], assets: list[str], cost: float) -
 
     fields = {f.name: f for f in rows.schema.fields}
     return rows.groupBy(*keys).applyInPandas(fold, T.StructType([*(fields[c] for c in (*keys, "date")), T.StructField("wealth", T.DoubleType())]))
+
+
+def identifiability(rows: DataFrame, keys: list[str], market: str, controls: list[str], regressor: str, markets: int, tolerance: float = 1e-12) -> DataFrame:
+    """keys, rows, stage, residual_variance: whether the regressor has variation beyond the controls, before anything is fitted.
+
+    Markets weigh the same, whatever their number of rows. Weighted sums of products are aggregated by market and then by keys; means, deviations and the residual variance, the Schur complement of the
+    controls in the correlation matrix, come from them alone. Stages in order, the first that fails is named: weights (a market is missing), preprocessing (a
+    feature doesn't vary), controls (they are collinear), residual variance (not above the tolerance); null if none fails. Rows with missing features are left out."""
+    names = [*controls, regressor]
+    whole = rows.dropna(subset=names)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    per = whole.groupBy(*keys, market).agg(F.count("*").alias("n"), *(F.avg(a).alias(f"m_{a}") for a in names), *(F.avg(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs))
+    mean = [*(f"m_{a}" for a in names), *(f"p_{a}_{b}" for a, b in pairs)]
+    sums = per.groupBy(*keys).agg(F.sum("n").alias("rows"), F.count("*").alias("markets"), *(F.avg(c).alias(c) for c in mean))
+
+    def judge(batches):
+        for pdf in batches:
+            stages, left = [], []
+            for r in pdf.to_dict("records"):
+                m = np.array([r[f"m_{a}"] for a in names])
+                s = np.zeros((len(names),) * 2)
+                for a, b in pairs:
+                    i, j = names.index(a), names.index(b)
+                    s[i, j] = s[j, i] = r[f"p_{a}_{b}"] - m[i] * m[j]
+                sd = np.sqrt(np.maximum(np.diag(s), 0))
+                stage, v = None, None
+                if r["markets"] != markets:
+                    stage = "weights"
+                elif (sd <= 1e-12 * np.maximum(1, np.abs(m))).any():
+                    stage = "preprocessing"
+                else:
+                    c = s / np.outer(sd, sd)
+                    if np.linalg.eigvalsh(c[:-1, :-1])[0] <= tolerance:
+                        stage = "controls"
+                    else:
+                        v = float(max(0.0, c[-1, -1] - c[-1, :-1] @ np.linalg.solve(c[:-1, :-1], c[:-1, -1])))
+                        stage = "residual variance" if v <= max(tolerance, 1e-10) else None
+                stages.append(stage)
+                left.append(v)
+            yield pdf[[*keys, "rows"]].assign(stage=stages, residual_variance=left)
+
+    fields = {f.name: f for f in sums.schema.fields}
+    return sums.mapInPandas(judge, T.StructType([*(fields[k] for k in keys), T.StructField("rows", T.LongType()), T.StructField("stage", T.StringType()), T.StructField("residual_variance", T.DoubleType())]))

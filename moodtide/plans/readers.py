@@ -37,20 +37,29 @@ def ratio_readings(spark, sf_dir):
 
 
 def fixed_width_rows(spark, sf_dir):
-    """Parts' order lines as lines of a text filing, some with an identifier of eight characters, which are no rows."""
+    """Parts' order lines as text filings in both layouts: values on the line, with decimals, or on the next one with the rest of the title; identifiers of eight characters are no rows, and some values are nowhere."""
     parts = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum(cents(F.col("l_extendedprice"))).alias("c"), F.sum("l_quantity").cast("long").alias("q"))
-    key = F.lpad(F.col("l_partkey").cast("string"), 9, "0")
-    cusip = F.when(F.col("l_partkey") % 7 == 0, F.substring(key, 2, 8)).otherwise(key)
-    name = F.rpad(F.concat(F.lit("PART "), F.col("l_partkey"), F.lit(" COMPANY")), 32, " ")
-    line = F.concat(name, F.lit("COM   "), cusip, F.lit("  "), F.format_number("c", 0), F.lit("  "), F.format_number("q", 0), F.lit("  SH SOLE"))
-    return R.fixed_width_13f(parts.select(line.alias("line")))
+    k = F.col("l_partkey")
+    key = F.concat(F.lpad(k.cast("string"), 7, "0"), F.when(k % 4 == 3, "ab").otherwise("AB"))
+    cusip = F.when(k % 7 == 0, F.substring(key, 2, 8)).otherwise(key)
+    name = F.rpad(F.concat(F.lit("PART "), k, F.lit(" COMPANY  OF  ROWS")), 40, " ")
+    value = F.when(k % 4 == 1, F.format_number(F.col("c") / 100, 2)).otherwise(F.format_number(F.col("c") / 100, 0))
+    whole = F.concat(name, F.lit("COM NEW   "), cusip, F.lit("  "), value, F.lit("  "), F.format_number("q", 0), F.lit(" SH"), F.when(k % 5 == 0, " CALL").otherwise(" SOLE"))
+    wrapped = F.concat(name, F.lit("SPON ADR   "), cusip, F.lit("  "), F.format_number("q", 0), F.lit("  PRN"))
+    below = F.when(k % 29 == 0, "    OTHER TEXT").otherwise(F.concat(F.lit("       SER A    "), F.format_number(F.col("c") / 100, 2)))
+    line = F.when(k % 4 == 2, F.concat_ws("\n", wrapped, below)).otherwise(whole)
+    file = F.floor(k / 400)  # so many rows a document
+    docs = parts.groupBy(file.alias("file")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))).alias("r"))
+    text = F.concat(F.lit("FORM 13F INFORMATION TABLE\r\n\r\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\r\n"))
+    return R.fixed_width_13f(R.text_lines(docs.select("file", text.alias("text")), ["file"]), ["file"]).drop("n")
 
 
 def padded_information(spark, sf_dir):
-    """Information tables whose identifiers lost their zeros: padded, and kept as filed."""
+    """Information tables whose identifiers lost their zeros, hold spaces, or are too short or too long: padded, null if they are none, and kept as filed."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").cast("long").alias("q"), F.sum(cents(F.col("l_extendedprice"))).alias("c"))
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
-    own = F.concat(F.lit("A"), F.col("l_partkey").cast("string"))
+    k = F.lpad(F.col("l_partkey").cast("string"), 6, "0")
+    own = F.get(F.array(F.concat(F.lit("8"), k, F.lit("2")), k, F.concat(F.lit("a"), F.substring(k, 1, 3), F.lit(" "), F.substring(k, 4, 3)), F.concat(k, F.lit("1234")), F.substring(k, 2, 5)), F.pmod("l_partkey", F.lit(5)).cast("int"))
     xml = tag("infoTable", F.concat(tag("nameOfIssuer", F.concat(F.lit("PART "), "l_partkey")), tag("cusip", own), tag("value", F.col("c").cast("string")), tag("shrsOrPrnAmt", tag("sshPrnamt", F.col("q").cast("string")))))
     return R.information_rows(lines.select(xml.alias("xml")), lenient=True).select("issuer", "cusip", "cusip_as_filed", "value", "shares")
 
@@ -120,8 +129,11 @@ ORACLES = {
     "top_up": f"with {REGION_SQL} select symbol, date, round(close, 6) as close from region_bars where symbol <> 'ASIA' or date < date '1998-01-01'",
     "gauge_readings": "select o_orderdate::date as date, arg_max((round(o_totalprice * 100)::bigint % 1000)::double / 10, o_orderkey) as score from orders group by 1",
     "ratio_readings": f"with {SLOT_SQL} select date, symbol as name, case when day(date) <> 13 then floor(close * 100)::double end as value from slot_bars",
-    "fixed_width_rows": f"{_PARTS} select 'PART ' || k || ' COMPANY' as issuer, lpad(k::varchar, 9, '0') as cusip, c::double as value, q::double as shares from p where k % 7 <> 0",
-    "padded_information": f"{_PARTS} select 'PART ' || k as issuer, lpad('A' || k, 9, '0') as cusip, 'A' || k as cusip_as_filed, c as value, q as shares from p",
+    "fixed_width_rows": f"""{_PARTS} select floor(k / 400)::bigint as file, 'PART ' || k || ' COMPANY  OF  ROWS' as issuer, case when k % 4 <> 2 then 'COM NEW' when k % 29 = 0 then 'SPON ADR' else 'SPON ADR SER A' end as title, lpad(k::varchar, 7, '0') || 'AB' as cusip,
+case when k % 4 = 1 then round(c / 100.0, 2)::double when k % 4 <> 2 then round_even(c / 100.0, 0)::double when k % 29 <> 0 then round(c / 100.0, 2)::double end as value, q::double as shares, case when k % 4 = 2 then 'PRN' else 'SH' end as share_type,
+case when k % 4 <> 2 and k % 5 = 0 then 'CALL' end as put_call, case when k % 4 = 2 and k % 29 = 0 then 'no value' end as problem from p where k % 7 <> 0""",
+    "padded_information": f"""{_PARTS}, i as (select *, lpad(k::varchar, 6, '0') as s from p) select 'PART ' || k as issuer, case k % 5 when 0 then '08' || s || '2' when 1 then '000' || s when 2 then '00A' || s end as cusip,
+case k % 5 when 0 then '8' || s || '2' when 1 then s when 2 then 'a' || s[1:3] || ' ' || s[4:6] when 3 then s || '1234' else s[2:6] end as cusip_as_filed, c as value, q as shares from i""",
     "first_entries": "select o_custkey, date_trunc('month', o_orderdate)::date as month, o_orderdate::date as day, o_orderkey from orders qualify row_number() over (partition by o_custkey, date_trunc('month', o_orderdate) order by o_orderdate::date, o_orderkey) = 1",
     "venues": """select symbol, count(*) as n, case symbol when '0P0001.ST' then 'Stockholm fund NAV' when 'X.L' then 'London-listed' when 'X.DE' then 'Xetra-listed' when 'X.ST' then 'Stockholm-listed' when 'BTC-USD' then 'crypto'
   when '^STOXX' then 'STOXX Europe index' when '^OMXSBGI' then 'Stockholm-listed' when '^GSPC' then 'index' else 'US-listed' end as venue

@@ -99,11 +99,32 @@ def snapshot_problems(rows: DataFrame) -> DataFrame:
     return per.select("date", F.explode(checks).alias("problem"))
 
 
-def fixed_width_13f(lines: DataFrame, line: str = "line") -> DataFrame:
-    """issuer, cusip, value (thousands), shares from text filings: name, nine-character identifier, value, shares."""
-    parts = lambda i: F.regexp_extract(line, r"^(.{10,40}?)\s{2,}.*?([0-9A-Z]{9})\s+([\d,]+)\s+([\d,]+)\s", i)
-    rows = lines.select(F.trim(parts(1)).alias("issuer"), texts.valid_cusip(parts(2)).alias("cusip"), texts.lenient_number(parts(3)).alias("value"), texts.lenient_number(parts(4)).alias("shares"))
-    return rows.filter("cusip is not null")
+def text_lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, n (from 0), line: the lines of each document."""
+    return docs.select(*keys, F.posexplode(F.split(text, r"\r?\n")).alias("n", "line"))
+
+
+#: Fixed forms of a text filing's table: the right part of a row (identifier, perhaps a value, shares, their kind, put or call), and a line that holds a row's value, after the rest of its title.
+_RIGHT = r"\s{2,}([0-9A-Za-z]{9})\s+(?:([0-9,]+(?:\.[0-9]+)?)\s+)?([0-9,]+)\s+(SH|PRN)\b(?:\s+(PUT|CALL))?.*$"
+_WRAPPED = r"^\s+(?:(\S.*?)\s{2,})?([0-9,]+\.[0-9]{2})\s*$"
+
+
+def fixed_width_13f(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of tables in text filings: keys, n, issuer, title, cusip, value (thousands), shares, share_type, put_call, problem.
+
+    Columns are two spaces or more apart: issuer, title, and the right part. Without a value on the line, it is on the next one, which may go on with the
+    title. Rows whose value is nowhere stay, with a problem. lines: keys, n, line."""
+    w = Window.partitionBy(*keys).orderBy("n")
+    part = lambda c, form, i: F.nullif(F.regexp_extract(c, form, i), F.lit(""))
+    rows = lines.select(*keys, "n", "line", F.lead("line").over(w).alias("_next")).filter(F.col("line").rlike(_RIGHT))
+    rows = rows.withColumn("_head", F.regexp_replace("line", _RIGHT, "")).filter(F.col("_head").rlike(r"^\S.*\S\s{2,}\S"))
+    on_line, wrapped = part("line", _RIGHT, 2), F.when(part("line", _RIGHT, 2).isNull(), part("_next", _WRAPPED, 2))
+    title, rest = F.regexp_extract("_head", r"\s{2,}((?:\S| \S)+)\s*$", 1), F.when(wrapped.isNotNull(), part("_next", _WRAPPED, 1))
+    value = texts.lenient_number(F.coalesce(on_line, wrapped))
+    return rows.select(
+        *keys, "n", F.trim(F.regexp_replace("_head", r"\s{2,}(?:\S| \S)+\s*$", "")).alias("issuer"), F.concat_ws(" ", title, F.trim(rest)).alias("title"), F.upper(part("line", _RIGHT, 1)).alias("cusip"),
+        value.alias("value"), texts.lenient_number(part("line", _RIGHT, 3)).alias("shares"), part("line", _RIGHT, 4).alias("share_type"), part("line", _RIGHT, 5).alias("put_call"), F.when(value.isNull(), "no value").alias("problem"),
+    )
 
 
 def gauge_history(docs: DataFrame, payload: str = "payload") -> DataFrame:
