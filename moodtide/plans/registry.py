@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import disclosure, forecasts, grid, observations, outcomes, policies, proofs, readers, schedules, sentiment, signals, statistics, studies, trading
+from . import disclosure, forecasts, grid, observations, outcomes, policies, proofs, readers, schedules, sentiment, signals, statistics, streams, studies, trading
 
-_PLANS = (sentiment, outcomes, statistics, trading, disclosure, forecasts, studies, policies, signals, observations, readers, grid, schedules, proofs)
+_PLANS = (sentiment, outcomes, statistics, trading, disclosure, forecasts, studies, policies, signals, observations, readers, grid, schedules, proofs, streams)
 QUERIES: dict = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in _PLANS for k, v in p.ORACLES.items()}
 FLAGSHIP = "sentiment_composite"
