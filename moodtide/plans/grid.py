@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import grid as G, policies as K, scan, windows as W
-from ..operators.lineage import cut
+from ..operators import grid as G, policies as K, scan, sealed, windows as W
+from ..operators.lineage import cut, folder
 from ..sources.bars import REGION_SQL, SLOT_SQL, SLOTS, region_bars, slot_bars
 from .sentiment import rounded
 from .signals import _A, _C, _MOVED, _N, _R, _RAW, _appetite, six_components
@@ -91,7 +93,28 @@ def rule_placebo(spark, sf_dir):
     return rounded(done, "median", "percentile", "p")
 
 
-QUERIES = {f.__name__: f for f in (rule_context, rule_grid, rule_cash_start, rule_selection, rule_shared, rule_holdout, rule_placebo)}
+def sealed_holdout(spark, sf_dir):
+    """What development selected, in the holdout, which is read only after the selection was sealed and the seal was found whole."""
+    bars = _context(spark, sf_dir)
+    place = f"{folder(spark)}/sealed-{uuid.uuid4().hex}"
+    sealed.deal(G.stages(bars), place)
+    rules = G.rule_table(spark)
+
+    def evaluate(rows, chosen):
+        longest = rows.agg(F.max("n")).first()[0] or 0
+        done = G.results(G.paths(rows.join(F.broadcast(chosen), S) if "symbol" in chosen.columns else rows.crossJoin(F.broadcast(chosen)), S, longest), S, G.COSTS)  # 47 rules at most
+        return rounded(done, "wealth", "ratio", "drawdown", "exposure")
+
+    def select(rows):
+        return G.selection(evaluate(rows, rules), S, 1).filter("rank = 1").select("symbol", "rule")
+
+    sealed.seal(spark, place, select)
+    ledger, later = sealed.opened(spark, place, select)
+    done = G.wide(evaluate(later, ledger.join(rules, "rule")), S)
+    return done.select("symbol", "rule", "base", "stress", "trades", "exposure", ((F.col("base") > 1) & (F.col("stress") > 1)).alias("wins"))
+
+
+QUERIES = {f.__name__: f for f in (rule_context, rule_grid, rule_cash_start, rule_selection, rule_shared, rule_holdout, rule_placebo, sealed_holdout)}
 
 
 # ---- the same in SQL: each rule's last decision instead of maps ----
@@ -164,6 +187,7 @@ select symbol, stage, rule, max_by(a0, seq) as from_out, max_by(a1, seq) as from
 select symbol, rule, round(objective, 6) as objective, base, stress, base > 1 and stress > 1 as wins from wd join sh using (rule) where stage = 'holdout'""",
     "rule_holdout": f"""{_DONE}, {_WIDE}, {_GOOD}, ro as (select symbol, rule, 'selected' as role from gd where rank = 1 union all select distinct symbol, rule, 'control' from wd where family = 'control')
 select symbol, rule, role, base, stress, trades, exposure, base > 1 and stress > 1 as wins from wd join ro using (symbol, rule) where stage = 'holdout'""",
+    "sealed_holdout": f"""{_DONE}, {_WIDE}, {_GOOD} select w.symbol, w.rule, w.base, w.stress, w.trades, w.exposure, w.base > 1 and w.stress > 1 as wins from wd w join gd on gd.symbol = w.symbol and gd.rule = w.rule and gd.rank = 1 where w.stage = 'holdout'""",
     "rule_placebo": f"""with {CONTEXT_SQL}, ho as (select *, row_number() {_W} - 1 as j, count(*) over (partition by symbol) as m from cx where i >= ceil(n * {G.DEVELOPMENT}) - 1),
 of as (select symbol, 0 as "offset" from ho group by 1 union select distinct symbol, floor(t.k * m / {PLACEBOS + 1}.0)::bigint from ho, range(1, {PLACEBOS + 1}) as t(k) where floor(t.k * m / {PLACEBOS + 1}.0) > 0),
 {path_sql([r for r in _RULES if r[1] == 'gated'], staged='select a.symbol, a.date, a.close, a.above_125, a.above_210, o."offset", b.* exclude (symbol, date, close, above_125, above_210), ' + "'holdout' as stage" + ' from ho a join of o on a.symbol = o.symbol join ho b on b.symbol = a.symbol and (b.j + o."offset") % b.m = a.j', keys='symbol, "offset", rule')},
