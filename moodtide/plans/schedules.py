@@ -8,7 +8,7 @@ from ..operators import outcomes as O, schedules as H, signals as G, studies as
 from ..operators.lineage import cut
 from ..sources.bars import REGION_SQL, cents, region_bars, table
 from .sentiment import rounded
-from .trading import scored
+from .trading import DAMPED, event_sql, scored, wealth_sql
 
 S = ["symbol"]
 POWERS, CAPS = (0.5, 1.0, 2.0), (1.0, 1.25, 1.5)
@@ -98,6 +98,20 @@ def _path_sql(source: str, keys: str, name: str) -> str:
 {name} as materialized (select {keys}, stddev_samp(g) * sqrt(count(g) / ((max(date) - min(date)) / 365.2425)) as vol from {name}4 group by all having min(coalesce(now, 1)) > 0)"""
 
 
+def _leveraged_sql(cost: float, borrow: float, floor: float | None = None) -> str:
+    """The path of `lv` (bars with targets) stepped through bar by bar: what a decision of the bar before does at a bar's close."""
+    margin = f"r1 > 0 and w / r1 < {floor}" if floor is not None else "false"
+    after = f"target0 * (w + sgn * {cost} * r1) / (1 + sgn * target0 * {cost})"
+    case = lambda over, gone, sold, traded, kept: f"case when over_ then {over} when w <= 0 then {gone} when {margin} then {sold} when target0 is not null and abs(target0 * w - r1) > 1e-14 * w then {traded} else {kept} end"
+    return f"""lb as materialized (select symbol, i, date, close, lag(close) over s as close0, lag(target) over s as target0, (date - lag(date) over s) / 365.2425 as years from lv window s as (partition by symbol order by i)),
+lf as (select symbol, i, 1.0::double as risk, 0.0::double as idle, false as over_, 0.0::double as moved, 0.0::double as paid from lb where i = 0
+  union all select symbol, i, {case('risk', '0', '0', after, 'r1')}, {case('idle', '0', f'w - {cost} * r1', f'w - {cost} * abs({after} - r1) - {after}', 'grown')}, over_ or w <= 0 or ({margin}),
+    moved + {case('0', '0', '0', f'abs({after} - r1)', '0')}, paid + case when over_ then 0 else greatest(0, idle - grown) end
+  from (select *, r1 + grown as w, case when target0 * (r1 + grown) > r1 then 1 else -1 end as sgn from (select x.symbol, x.i, x.target0, f.risk, f.idle, f.over_, f.moved, f.paid, f.risk * x.close / x.close0 as r1, f.idle * exp(case when f.idle < 0 then {borrow} else 0 end * x.years) as grown
+    from lf f join lb x on x.symbol = f.symbol and x.i = f.i + 1)))
+select symbol, date, round(risk + idle, 6) as wealth, round(case when risk + idle > 0 then risk / (risk + idle) else 0 end, 6) as exposure, round(moved, 6) as traded, round(paid, 6) as financing from lf join lb using (symbol, i)"""
+
+
 _DAMPED = f"{REGION_SQL}, db as materialized (select symbol, date, pow(close, 0.025) as close, pow(1.02, (date - date '1970-01-01') / 365.2425) as cash from region_bars)"
 ORACLES = {
     "segmented_cash": f"""with {REGION_SQL}, {_BILLS}, pts as (select symbol, date from region_bars union select symbol, ys.date from ys, sp where ys.date > f and ys.date < l),
@@ -118,4 +132,11 @@ ow as (select db.*, s.power, s.cap, ex.target from sg s join db on db.symbol = s
 dg as (select symbol, days, min(start) as start, count(*) as sharing from sg group by 1, 2), gr as (select db.*, d.days, k * 0.1::double as grid, case when contains(d.days, db.date::varchar) then k * 0.1::double end as target from dg d join db on db.symbol = d.symbol and db.date >= d.start, range({STEPS}) t(k)), {_path_sql('gr', 'symbol, days, grid', 'ctl')},
 bt as (select s.symbol, s.power, s.cap, s.events, s.days, own.vol as own, ctl.grid, ctl.vol as control from sg s join own using (symbol, power, cap) join ctl on ctl.symbol = s.symbol and ctl.days = s.days qualify row_number() over (partition by s.symbol, s.power, s.cap order by round(abs(ctl.vol - own.vol), 10), ctl.grid) = 1)
 select b.symbol, power, cap, events, sharing, (select count(*) from ctl where ctl.symbol = b.symbol and ctl.days = b.days) as simulations, round(own, 6) as own, round(grid, 6) as target, round(control, 6) as control from bt b join dg on dg.symbol = b.symbol and dg.days = b.days""",
+    "sentiment_overlay": f"with recursive {DAMPED}, lv as (select *, case when score <= 24 then 1.5 when score >= 75 then 0.5 when score is not null then 1.0 end as target from b), {_leveraged_sql(0.005, 0.05)}",
+    "volatility_managed": f"""with recursive {DAMPED}, {_STATES.format('b')}, {_ASKED.format('(0.5::double)', '(1.5::double)')},
+lv as (select b.*, case when b.date = max(b.date) over (partition by b.symbol, date_trunc('month', b.date)) then sc.target end as target from b left join sc on sc.symbol = b.symbol and sc.month = date_trunc('month', b.date)), {_leveraged_sql(0.002, 0.015, 0.4)}""",
+    "switched_rule": f"""with {DAMPED}, g as (select b.*, fear, greed from b, (values (15), (20), (25)) f(fear), (values (70), (75), (80)) h(greed)), {event_sql('case when shown >= greed then 0 when shown <= fear then 1 end', 1, name='gp', source='g', key='symbol, fear, greed')}, {wealth_sql('0.0025', source='gp', name='gw', key='symbol, fear, greed')},
+y as (select symbol, fear, greed, year(date) as year, round(sum(ln(growth)), 6) as g from gw group by 1, 2, 3, 4), t as (select y.year + k as year, fear, greed, avg(g) as mean, count(distinct y.year) as years from y, range(1, 4) r(k) group by 1, 2, 3),
+aw as (select year, fear, greed from t where years = 3 qualify row_number() over (partition by year order by mean desc, fear, greed) = 1), sw as (select b.*, aw.fear, aw.greed from b left join aw on aw.year = year(b.date)),
+{event_sql('case when shown >= greed then 0 when shown <= fear then 1 end', 1, source='sw')}, {wealth_sql('0.0025')} select symbol, date, position, round(wealth, 6) as wealth from w""",
 }
