@@ -6,9 +6,10 @@ are compared by their exact cosine in double precision. For vectors exactly at t
 projection agrees with probability 0.80, hence a table with 0.069 and one of 40 tables with 0.94; for closer vectors that
 rises fast (0.995 at cosine 0.95). Unrelated vectors share a bucket of one table once in 80,000 pairs.
 
-Equal vectors of a label are one entry of the index with a count, so copies cost nothing. Buckets are compared in blocks inside tasks;
-each block returns a count and one link per entry instead of pairs. A pair that shares buckets in several tables counts only in the
-first. Bucket numbers have 32 bits; where two tuples fall on one number, the bucket only gets longer. Nothing is capped.
+Equal vectors of a label are one entry of the index with a count, so copies cost nothing. Entries stand in blocks of BLOCK, in the order of their buckets. Entries that share a bucket in any
+table make their blocks meet, each pair of blocks once, however many tables they share; only then vectors are joined to it, those of the entries that share
+a bucket, and compared as a whole. So vectors travel in proportion to pairs of blocks, and no pair is counted twice.
+Each pair of blocks returns a count and one link per entry instead of pairs. Bucket numbers have 32 bits; where two tuples fall on one number, the bucket only gets longer. Nothing is capped.
 
 Rows link only if labels are equal and not null and dimensions agree. Vectors that are null, empty, zero or hold
 null or non-finite components link with nothing; the largest and smallest finite ones are like others. Repeated rows are vectors like others. An empty table gives no rows.
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import labels_of, list_starts, units, whole_lists
+from .blocks import labels_of, list_starts, whole_lists
 from .common import materialise
 from .components import connected_components, joined_by_parts
+from .mixing import numbered
 
 THRESHOLD = 0.93
 TABLES, PROJECTIONS, WIDTH, SEED = 40, 12, 1.5, 5
@@ -76,33 +78,36 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     number = F.arrow_udf(lambda x: _buckets(x, tables=tables, projections=projections, width=width), T.ArrayType(T.IntegerType()))
     classes = rows.filter(valid).groupBy("__label", "__vector").agg(F.min("__id").alias("least"), F.count("*").alias("n"))
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()).withColumn("buckets", number(v)))
-    order = ["__label", "dim", "table", "bucket"]
-    posts = classes.select("cls", "__label", F.size("__vector").alias("dim"), F.posexplode("buckets").alias("table", "bucket"))
-    dealt = units(posts, order, F.xxhash64("cls"), BLOCK).join(classes.select("cls", "n", "buckets", "__vector"), "cls")
-    order = [*order, "unit"]
+    # classes in the order of their buckets stand in blocks: what is alike is mostly in few blocks, whatever the number of tables
+    classes = materialise(numbered(classes, F.col("__label"), F.size("__vector"), F.col("buckets"), F.col("cls")).withColumn("block", F.floor(F.col("number") / BLOCK)).drop("number"))
+    keys = ["__label", "dim", "table", "bucket"]
+    posts = classes.select("cls", "block", "__label", F.size("__vector").alias("dim"), F.posexplode("buckets").alias("table", "bucket"))
+    lists = posts.groupBy(*keys).agg(F.collect_set("block").alias("blocks"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    met = joined_by_parts(posts, lists, keys, F.col("cls")).withColumn("other", F.explode("blocks"))
+    order = ["__label", "dim", "low", "high"]
+    # who takes part in a pair of blocks: once, though they may meet in many tables; vectors come to it only here
+    parts = met.select("__label", "dim", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls").distinct()
+    dealt = parts.join(classes.select("cls", "n", "__vector"), "cls")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_lists(batches, order):
-            cls, n, side, where = (table.column(c).to_numpy() for c in ("cls", "n", "side", "table"))
+            cls, n, low, high, block = (table.column(c).to_numpy() for c in ("cls", "n", "low", "high", "block"))
             lists = table.column("__vector").combine_chunks()
             flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
-            buckets = table.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
             starts = np.r_[list_starts(table, order), len(cls)]
             counts, label_of = np.zeros(len(cls), np.int64), np.arange(len(cls))
             for lo, hi in zip(starts[:-1], starts[1:]):
-                unit = unit_vectors(flat[ends[lo] : ends[hi]].reshape(hi - lo, -1))
-                alone = side[lo] == 0
-                left = np.flatnonzero(side[lo:hi] <= 1)
-                right = left if alone else np.flatnonzero(side[lo:hi] == 2)
+                alone = low[lo] == high[lo]
+                left = np.flatnonzero(block[lo:hi] == low[lo])
+                right = left if alone else np.flatnonzero(block[lo:hi] == high[lo])
                 if not len(left) or not len(right):
                     continue
+                unit = unit_vectors(flat[ends[lo] : ends[hi]].reshape(hi - lo, -1))
                 near = unit[left] @ unit[right].T >= threshold
                 if alone:
                     near &= ~np.eye(len(left), dtype=bool)
                 if not near.any():
                     continue
-                for t in range(where[lo]):
-                    near &= buckets[lo + left, t][:, None] != buckets[lo + right, t][None, :]
                 counts[lo + left] += near @ n[lo + right]
                 if not alone:
                     counts[lo + right] += n[lo + left] @ near
@@ -111,17 +116,18 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
             some = (counts > 0) | (label_of != np.arange(len(cls)))
             yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(cls[label_of[some]]), pa.array(counts[some])], names=["a", "b", "n"])
 
-    found = dealt.select(*order, "side", "cls", "n", "buckets", "__vector").repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long, n long")
+    found = dealt.select(*order, "block", "cls", "n", "__vector").repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long, n long")
     found = materialise(found)
     direct = found.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("direct"))
     parts = connected_components(found.filter("a != b").select("a", "b")).withColumnRenamed("node", "cls")
     linked = classes.select("cls", "__label", "__vector", "least", "n").join(parts, "cls", "left").join(direct, "cls", "left").withColumn("part", F.coalesce("component", "cls"))
     leasts = linked.groupBy("part").agg(F.min("least").alias("component_id"))
     of = materialise(joined_by_parts(linked, leasts, "part", F.col("cls")).select("__label", "__vector", (F.col("n") - 1 + F.coalesce("direct", F.lit(0))).alias("n_links"), "component_id"))
-    # rows that cannot link keep their null or odd vectors out of the join
-    key = F.when(valid, F.struct("__label", "__vector"))
+    # rows that cannot link keep their null or odd vectors out of the join; the many rows of one vector are dealt into parts
+    keyed = rows.select("__id", F.when(valid, F.struct("__label", "__vector")).alias("key"))
+    of = of.select(F.struct("__label", "__vector").alias("key"), "n_links", "component_id")
     return (
-        rows.withColumn("key", key).join(of.select(F.struct("__label", "__vector").alias("key"), "n_links", "component_id"), "key", "left")
+        joined_by_parts(keyed, of, "key", F.coalesce("__id", F.monotonically_increasing_id()), "left")
         .select(F.col("__id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "__id").alias("component_id"))
         .withColumn("kept", F.col(vec_id) == F.col("component_id"))
     )

@@ -390,6 +390,25 @@ def test_embedding_links_and_recall(spark, monkeypatch, block):
     assert got[120].component_id == got[121].component_id == got[122].component_id == got[0].component_id
 
 
+def test_dense_groups_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    rng = np.random.default_rng(23)
+    base = rng.normal(size=(2, 24))
+    v = np.concatenate([base[0] + rng.normal(size=(500, 24)) * 0.2, base[1] + rng.normal(size=(40, 24)) * 0.25]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)] + [(i, v[0].tolist(), 1) for i in range(900, 930)] + [(5, v[5].tolist(), 1)], "vec_id long, embedding array<float>, label int")
+    got = embeddings.near_duplicates(df).collect()
+    all_ = np.concatenate([v, np.repeat(v[:1], 30, axis=0), v[5:6]]).astype(float)
+    ids = [*range(540), *range(900, 930), 5]
+    unit = all_ / np.linalg.norm(all_, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    want = Counter(zip(ids, near.sum(axis=1).tolist()))
+    found = Counter((r.vec_id, r.n_links) for r in got)
+    assert len(got) == len(ids) and sum(n for (_, k), c in found.items() for n in [k * c]) >= 0.99 * sum(k * c for (_, k), c in want.items())
+    links = {i: max(n for j, n in want if j == i) for i in set(ids)}
+    assert all(r.n_links <= links[r.vec_id] for r in got)
+
+
 def test_vectors_of_extreme_components(spark):
     rng = np.random.default_rng(19)
     base = rng.normal(size=(4, 16))
