@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from moodtide.functions import texts
-from moodtide.sources import filings
+from moodtide.sources import filings, tables
 
 
 def test_both_layouts_of_text_tables(spark):
@@ -34,3 +34,35 @@ def test_padded_identifiers(spark):
     cases = {"84670702": "084670702", " 8467 07 02 ": "084670702", "abc123": "000ABC123", "12345": None, "1234567890": None, "": None, "0000": None, "12-45678": None, None: None}
     got = spark.createDataFrame([(k,) for k in cases], "x string").select("x", texts.padded_cusip(F.col("x")).alias("y")).collect()
     assert {r.x: r.y for r in got} == cases
+
+
+def test_files_by_their_headers(spark, tmp_path):
+    def write(name, text):
+        (tmp_path / name).write_bytes(text.encode())
+        return str(tmp_path / name)
+
+    good = write("good.csv", '﻿Name,"Value, net",Date\r\n"a ""b""\nc","1,234.50",01/31/2020\r\nshort,1\r\nlong,1,2,3\r\n"",(2),02/01/2020\r\n')
+    rows, problems = tables.quoted_csv(spark, good, {"date": "Date", "name": "Name", "value": "Value, net"})
+    assert [tuple(r) for r in rows.collect()] == [("01/31/2020", 'a "b"\nc', "1,234.50"), ("02/01/2020", None, "(2)")]
+    assert [r.problem for r in problems.collect()] == ["ragged row", "ragged row"]
+    bad = write("bad.csv", "A,,A,B\n1,2,3,4\n")
+    rows, problems = tables.quoted_csv(spark, bad, {"a": "A", "c": "C"})
+    assert rows.collect() == [] and {r.problem for r in problems.collect()} == {"repeated header A", "empty header", "no column C"}
+    empty = write("empty.csv", "")
+    rows, problems = tables.quoted_csv(spark, empty, {"a": "A"})
+    assert rows.collect() == [] and [r.problem for r in problems.collect()] == ["no column A"]
+    rates = write("rates.csv", "DATE,DTB3\n2020-01-02,1.52\n2020-01-03,.\n2020-01-06,-0.05\nnone,1\n2021-01-01,9\n")
+    read, _ = tables.dated(spark, rates, {"date": "DATE", "percent": "DTB3"}, as_of="2020-12-31")
+    assert [(str(r.date), r.percent) for r in read.orderBy("date").collect()] == [("2020-01-02", 1.52), ("2020-01-06", -0.05)]
+
+
+def test_snapshots_tell_what_is_wrong(spark, tmp_path):
+    head = "Date,Account,StockTicker,CUSIP,SecurityName,Shares,Price,MarketValue,Weightings,NetAssets,SharesOutstanding\n"
+    row = lambda day, ticker, value, weight, account="A", net="100", shares="1": f'{day},{account},{ticker},123456789,"N, x",{shares},$1.00,{value},{weight}%,{net},10\n'
+    text = head + row("01/01/2020", "a", 60, 60) + row("01/01/2020", "b", 40, 40)
+    text += row("01/02/2020", "a", 60, 60) + row("01/02/2020", "a", 40, 40, account="B", net="101", shares="none")
+    text += row("01/03/2020", "a", 50, 50) + row("01/03/2020", "b", 40, 40)
+    (tmp_path / "h.csv").write_text(text)
+    rows, problems = tables.holdings(spark, str(tmp_path / "h.csv"))
+    found = {(str(r.date), r.problem) for r in tables.snapshot_problems(rows).collect()}
+    assert problems.collect() == [] and found == {*(("2020-01-02", p) for p in ("repeated ticker", "several accounts", "several totals", "no number")), ("2020-01-03", "weights"), ("2020-01-03", "values")}
