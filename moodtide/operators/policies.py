@@ -7,6 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,24 +112,34 @@ def participation(segments: DataFrame, keys: list[str], member: str, n: int = 10
     return out.filter(F.col("n") >= least)
 
 
+def item_of(text: str, key: str) -> tuple[str | None, str | None]:
+    """The value (as JSON) and date of the item with a key: of its whole object if that can be read, else the value alone and the first date after it that is not another item's."""
+    marker = f'"itemKey":"{key}","value":'
+    at = text.find(marker)
+    if at < 0:
+        return None, None
+    read = json.JSONDecoder().raw_decode
+    try:
+        value, end = read(text, at + len(marker))
+    except ValueError:
+        return None, None
+    shown = json.dumps(value, ensure_ascii=False)
+    try:
+        return shown, read(text, text.rindex("{", 0, at))[0].get("creationDate")
+    except (ValueError, AttributeError):
+        head, sep, tail = text[end:].split('"itemKey":', 1)[0].partition('"creationDate":"')
+        return shown, tail.split('"')[0] if sep and head.startswith(",") else None
+
+
 def item_values(pages: DataFrame, html: str, key: str) -> DataFrame:
     """pages with `value` (JSON text) and `dated` of an item that is embedded with once-escaped quotes."""
-    marker = f'"itemKey":"{key}","value":'
 
-    @F.udf("struct<value: string, dated: string>")
-    def take(text: str | None):
-        text = (text or "").replace('\\"', '"')
-        at = text.find(marker)
-        if at < 0:
-            return None
-        try:
-            value, end = json.JSONDecoder().raw_decode(text, at + len(marker))
-        except ValueError:
-            return None
-        head, sep, tail = text[end : end + 200].partition('"creationDate":"')
-        return json.dumps(value, ensure_ascii=False), tail.split('"')[0] if sep and head.startswith(",") else None
-
-    return pages.withColumn("_v", take(F.col(html))).withColumn("value", F.col("_v.value")).withColumn("dated", texts.kap_date(F.col("_v.dated"))).drop("_v")
+    def take(texts_: pa.Array) -> pa.Array:
+        found = [item_of((t.as_py() or "").replace('\\"', '"'), key) for t in texts_]
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["value", "dated"])
+
+    both = F.arrow_udf(take, "struct<value: string, dated: string>")
+    return pages.withColumn("_v", both(F.col(html))).withColumn("value", F.col("_v.value")).withColumn("dated", texts.kap_date(F.col("_v.dated"))).drop("_v")
 
 
 def shareholders(items: DataFrame, keys: list[str]) -> DataFrame:

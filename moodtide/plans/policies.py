@@ -51,11 +51,11 @@ def participation(spark, sf_dir):
 
 
 def shareholder_tables(spark, sf_dir):
-    """Customers by segment as holders in tables embedded in pages, read again."""
+    """Customers by segment as holders in tables embedded in pages of a bounded number of rows, read again."""
     c = table(spark, sf_dir, "customer").withColumn("cents", cents(F.abs("c_acctbal")))
     turkish = lambda x: F.translate(F.format_number(x, 2), ",.", ".,")
     row = F.struct(F.col("c_name").alias("shareholder"), turkish(F.col("cents") / 100).alias("shareInCapital"), turkish(F.col("c_custkey") % 100 + F.lit(0.25)).alias("ratioInCapital"), F.lit("1,00").alias("votingRightRatio"))
-    listed = c.groupBy("c_mktsegment", (F.col("c_custkey") % 50).alias("page")).agg(F.to_json(F.collect_list(row)).alias("j"))
+    listed = c.groupBy("c_mktsegment", F.floor(F.col("c_custkey") / 1000).alias("page")).agg(F.to_json(F.collect_list(row)).alias("j"))
     html = F.concat(F.lit('<script>x("'), F.replace(F.concat(F.lit('{"itemKey":"holders","value":'), "j", F.lit(',"disclosureIndex":null,"creationDate":"05/09/2026 10:00:00"}')), F.lit('"'), F.lit('\\"')), F.lit('")</script>'))
     items = K.item_values(listed.select("c_mktsegment", html.alias("html")), "html", "holders")
     return K.shareholders(items, ["c_mktsegment"]).select("c_mktsegment", "dated", "holder", "shares", "pct", "other", "total")

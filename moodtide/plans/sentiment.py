@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..operators import sentiment, windows as W
+from ..operators.lineage import cut
 from ..sources.bars import REGION_SQL, SLOT_SQL, SLOTS, region_bars, slot_bars
 
 S = ["symbol"]
@@ -18,10 +19,10 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def markets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Index bars by market, and the bars of each slot, the same for every market."""
-    index = region_bars(spark, sf_dir).withColumnRenamed("symbol", "market")
+    """Index bars by market, and the bars of each slot, the same for every market. Both are a row per series and day, and written, since several components read them: the order lines are aggregated once."""
+    index = cut(region_bars(spark, sf_dir).withColumnRenamed("symbol", "market"))
     names = index.select("market").distinct()
-    slots = slot_bars(spark, sf_dir)
+    slots = cut(slot_bars(spark, sf_dir).filter(F.col("symbol").isin(*SLOTS.values())))
     return index, {slot: slots.filter(F.col("symbol") == s).drop("symbol").join(names) for slot, s in SLOTS.items()}
 
 

@@ -66,3 +66,13 @@ def test_snapshots_tell_what_is_wrong(spark, tmp_path):
     rows, problems = tables.holdings(spark, str(tmp_path / "h.csv"))
     found = {(str(r.date), r.problem) for r in tables.snapshot_problems(rows).collect()}
     assert problems.collect() == [] and found == {*(("2020-01-02", p) for p in ("repeated ticker", "several accounts", "several totals", "no number")), ("2020-01-03", "weights"), ("2020-01-03", "values")}
+
+
+def test_items_with_their_dates():
+    from moodtide.operators.policies import item_of
+
+    far = '{"a":1,"itemKey":"h","value":[{"x":"]}"}],' + '"pad":"' + "y" * 5000 + '","creationDate":"01/02/2026"},{"itemKey":"z","value":1,"creationDate":"09/09/2026"}'
+    assert item_of(far, "h") == ('[{"x": "]}"}]', "01/02/2026")
+    assert item_of('x {"itemKey":"h","value":[1],"creationDate":"01/02/2026"', "h") == ("[1]", "01/02/2026")
+    assert item_of('{"itemKey":"h","value":[1],{"itemKey":"z","value":2,"creationDate":"09/09/2026"}', "h") == ("[1]", None)
+    assert item_of('"itemKey":"h","value":[1', "h") == item_of("", "h") == (None, None)
