@@ -82,7 +82,7 @@ def _from_first(bars: DataFrame, events: DataFrame, keys: list[str], series_keys
 def segmented_cash(calendar: DataFrame, rates: DataFrame, keys: list[str], percent: str, stale: int = 7) -> DataFrame:
     """Wealth of cash on a calendar whose intervals hold rate changes: dates of both are merged, each stretch between neighbours
     earns the rate last observed at its beginning, and no row is made per day. A stretch that ends more than `stale` days after its observation is refused: from
-    then on there is no wealth, and `refused` tells the first such day. calendar: keys, date; rates: keys, date, percent. segments: stretches since the date before."""
+    then on there is no wealth, and `refused` tells the first day without a rate that is fresh enough. calendar: keys, date; rates: keys, date, percent. segments: stretches since the date before."""
     marks = calendar.select(*keys, "date", F.lit(1).alias("_on"), F.lit(None).cast("double").alias("_p")).unionByName(rates.select(*keys, "date", F.lit(0).alias("_on"), F.col(percent).cast("double").alias("_p")))
     points = marks.groupBy(*keys, "date").agg(F.max("_on").alias("_on"), F.max("_p").alias("_p"))
     w, upto = series(keys), over(keys)
@@ -90,7 +90,8 @@ def segmented_cash(calendar: DataFrame, rates: DataFrame, keys: list[str], perce
     x = points.withColumn("_rate", rate).withColumn("_seen", seen).withColumn("_next", F.lead("date").over(w)).withColumn("_begun", F.max("_on").over(upto) == 1)
     # the stretch that begins here
     good = F.coalesce(F.datediff("_next", "_seen") <= stale, F.lit(False)) & F.coalesce(F.col("_rate") < 360 / 91 * 100, F.lit(False))
-    x = x.withColumn("_bad", F.when(F.col("_begun") & F.col("_next").isNotNull() & ~good, F.col("_next")))
+    too_old = F.greatest(F.date_add("date", 1), F.coalesce(F.date_add("_seen", stale + 1), F.date_add("date", 1)))
+    x = x.withColumn("_bad", F.when(F.col("_begun") & F.col("_next").isNotNull() & ~good, too_old))
     x = x.withColumn("_g", F.when(F.col("_begun") & good, F.log(discount_growth(F.col("_rate"), F.lit(1))) * F.datediff("_next", "date")).otherwise(0.0)).withColumn("_one", F.col("_begun").cast("int"))
     done = upto.rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("wealth", F.exp(F.coalesce(F.sum("_g").over(done), F.lit(0.0)))).withColumn("refused", F.min("_bad").over(done)).withColumn("_s", F.coalesce(F.sum("_one").over(done), F.lit(0)))

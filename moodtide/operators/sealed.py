@@ -21,8 +21,9 @@ class SealBroken(ValueError):
 
 
 def deal(rows: DataFrame, folder: str, stage: str = "stage") -> None:
-    """Writes rows into folder/rows/stage=..., one folder per stage."""
-    rows.write.partitionBy(stage).parquet(f"{folder}/rows")
+    """Writes rows into folder/rows/stage=..., one folder per stage, also where a stage has no rows."""
+    for name in ("development", "holdout"):
+        rows.filter(F.col(stage) == name).drop(stage).write.parquet(f"{folder}/rows/stage={name}")
 
 
 def part(spark: SparkSession, folder: str, stage: str) -> DataFrame:

@@ -102,9 +102,8 @@ def test_segments_equal_daily_products(spark):
             else:
                 assert got[d].wealth is None and (got[d].refused - DAY).days == bad
         last = max((x for x in seen if x <= d), default=None)
-        # a stretch is refused as a whole, at its end
-        if bad is None and (last is None or next(x for x in sorted([*dates, *seen, 250]) if x > d) - last > 7):
-            bad = next(x for x in sorted([*dates, *seen, 250]) if x > d)
+        if bad is None and (last is None or d + 1 - last > 7):
+            bad = d + 1
         elif bad is None:
             log += math.log(1 / (1 - rates[last] / 100 * 91 / 360)) / 91
     assert bad is not None
