@@ -137,3 +137,16 @@ def test_shifted_sentiment_keeps_gates(spark):
     assert len(moved) == 5
     for r in moved:
         assert r.features == [float(10 * (r.i if k in gates else (r.i - 2) % 5) + k) for k in range(width)]
+
+
+def test_one_rule_for_all_series(spark):
+    rows = []
+    for s in ("a", "b"):
+        for place, (rule, base, stress) in enumerate((("x", 1.2, 1.1), ("y", 1.3 if s == "a" else 1.1, 1.05), ("z", 2.0, 0.9 if s == "b" else 1.5), ("w", 1.2, 1.1))):
+            rows += [(s, "development", rule, "level", place, sc, r, 6, 0.5) for sc, r in (("base", base), ("stress", stress))]
+    done = spark.createDataFrame(rows, "symbol string, stage string, rule string, family string, place int, scenario string, ratio double, trades int, exposure double")
+    assert [(r.rule, round(r.objective, 9)) for r in G.shared_selection(done, ["symbol"]).collect()] == [("x", 0.182321557)]
+    best = {r.symbol: (r.rule, r.eligible) for r in G.selection(done, ["symbol"], 1).collect()}
+    assert best == {"a": ("z", 4), "b": ("w", 3)}
+    none = G.selection(done.withColumn("ratio", F.lit(0.5)), ["symbol"]).collect()
+    assert sorted((r.symbol, r["rank"], r.rule) for r in none) == [("a", 0, None), ("b", 0, None)] and G.shared_selection(done.withColumn("ratio", F.lit(0.5)), ["symbol"]).count() == 0
