@@ -74,7 +74,7 @@ QUERIES = {f.__name__: f for f in (segmented_cash, absolute_momentum, schedule_c
 
 _YIELDS = "ys as (select o_orderdate::date as date, (sum(round(o_totalprice * 100)::bigint) % 500)::double / 100 as p from orders where o_custkey % 3 = 0 group by 1)"
 #: One row per day, each with the yield last seen at its beginning.
-_BILLS = f"""{_YIELDS}, sp as (select symbol, min(date) as f, max(date) as l from region_bars group by 1), dy as (select symbol, unnest(generate_series(f, l - 1, interval 1 day))::date as day from sp),
+BILL_SQL = f"""{_YIELDS}, sp as (select symbol, min(date) as f, max(date) as l from region_bars group by 1), dy as (select symbol, unnest(generate_series(f, l - 1, interval 1 day))::date as day from sp),
 kn as (select dy.symbol, dy.day, ys.date as seen, ys.p from dy asof left join ys on dy.day >= ys.date), ok as (select *, seen is not null and day + 1 - seen <= 7 as good from kn),
 cu as (select symbol, day + 1 as date, sum(case when good then ln(1 / (1 - p / 100 * 91 / 360)) / 91 else 0 end) over w as g, min(case when not good then day + 1 end) over w as bad from ok window w as (partition by symbol order by day)),
 bw as (select r.symbol, r.date, case when bad is null then exp(coalesce(g, 0)) end as wealth, bad from region_bars r left join cu on r.symbol = cu.symbol and r.date = cu.date)"""
@@ -114,10 +114,10 @@ select symbol, date, round(risk + idle, 6) as wealth, round(case when risk + idl
 
 _DAMPED = f"{REGION_SQL}, db as materialized (select symbol, date, pow(close, 0.025) as close, pow(1.02, (date - date '1970-01-01') / 365.2425) as cash from region_bars)"
 ORACLES = {
-    "segmented_cash": f"""with {REGION_SQL}, {_BILLS}, pts as (select symbol, date from region_bars union select symbol, ys.date from ys, sp where ys.date > f and ys.date < l),
+    "segmented_cash": f"""with {REGION_SQL}, {BILL_SQL}, pts as (select symbol, date from region_bars union select symbol, ys.date from ys, sp where ys.date > f and ys.date < l),
 sg as (select r.symbol, r.date, lag(r.date) over (partition by r.symbol order by r.date) as before from region_bars r), sn as (select sg.symbol, sg.date, count(p.date) as segments from sg left join pts p on p.symbol = sg.symbol and p.date >= sg.before and p.date < sg.date group by 1, 2)
 select symbol, date, round(wealth, 6) as wealth, bad as refused, segments from bw join sn using (symbol, date)""",
-    "absolute_momentum": f"""with {_DAMPED}, {_BILLS}, x as (select *, lead(date) over (partition by symbol order by date) as execution from db), e as (select * from x qualify row_number() over (partition by symbol, date_trunc('month', date) order by date desc) = 1),
+    "absolute_momentum": f"""with {_DAMPED}, {BILL_SQL}, x as (select *, lead(date) over (partition by symbol order by date) as execution from db), e as (select * from x qualify row_number() over (partition by symbol, date_trunc('month', date) order by date desc) = 1),
 m as (select *, lag(close, 12) over (partition by symbol order by date) as before from e), o as (select symbol, execution as date, (close > before)::int as t from m where before is not null and execution is not null),
 r as (select b.symbol, b.date, b.close, bw.wealth, last_value(t ignore nulls) over (partition by b.symbol order by b.date) as target from db b left join o on b.symbol = o.symbol and b.date = o.date join bw on bw.symbol = b.symbol and bw.date = b.date),
 h as (select *, lag(target) over s as held, close / lag(close) over s as up, wealth / lag(wealth) over s as cash from r where target is not null window s as (partition by symbol order by date)),
