@@ -84,3 +84,18 @@ def deadlines(reports: DataFrame, dates: DataFrame, report: str, days_after: int
     due = reports.withColumn("quarter_end", quarter_end_after(F.col(report))).withColumn("due", F.date_add("quarter_end", days_after))
     rolled = dates.select(F.col("date").alias("due"), F.col("business_day").alias("deadline"))
     return due.join(rolled, "due", "left").withColumn("rolled", F.col("due") != F.col("deadline"))
+
+
+def with_reasons(dates: DataFrame) -> DataFrame:
+    """A calendar with `reason`: which days stand between a date and the business day it rolls to, null where none does.
+
+    At the calendar's end, where the business day isn't known, the reason is null."""
+    d = F.col("date")
+    day = F.struct(d.alias("date"), F.when(F.col("is_weekend"), F.date_format(d, "EEEE")).alias("weekend"), F.when(~F.col("is_weekend"), F.col("holiday")).alias("holiday"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(0, 14)  # one row per day
+    rows = dates.withColumn("__next", F.collect_list(day).over(ahead)).withColumn("__days", F.filter("__next", lambda x: x["date"] < F.col("business_day")))
+    names = lambda c: F.array_distinct(F.array_compact(F.transform("__days", lambda x: x[c])))
+    weekend = F.when(F.size(names("weekend")) > 1, "a weekend").when(F.size(names("weekend")) == 1, F.concat(F.lit("a "), names("weekend")[0]))
+    named = F.nullif(F.array_join(names("holiday"), " and "), F.lit(""))
+    both = F.concat(weekend, F.lit(", and "), named, F.lit(" the next working day"))
+    return rows.withColumn("reason", F.coalesce(both, weekend, named)).drop("__next", "__days")
