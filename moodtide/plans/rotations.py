@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import rotation as R, schedules as H, windows as W
 from ..operators.lineage import cut
+from ..sources.bars import region_bars
 from .schedules import BILL_SQL, observed_yields
-from .trading import DAMPED, scored
+from .trading import DAMPED, DAMPING
 
 K = ["panel"]
 ASSETS = 5
@@ -16,7 +17,7 @@ COSTS = [0.002, 0.004]
 
 def _rows(spark, sf_dir):
     """The days on which all regions have a bar; bills grow as long as their yields are fresh, then stand."""
-    bars = scored(spark, sf_dir).select(F.lit("regions").alias("panel"), "symbol", "date", "close")
+    bars = region_bars(spark, sf_dir).select(F.lit("regions").alias("panel"), "symbol", "date", F.pow("close", DAMPING).alias("close"))
     rows = R.common_rows(bars, K, "symbol", ASSETS)
     bills = H.segmented_cash(bars.filter("symbol = 'AFRICA'").select("panel", "date"), observed_yields(spark, sf_dir).withColumn("panel", F.lit("regions")), K, "yield").select("panel", "date", "wealth")
     known = rows.join(bills, [*K, "date"], "left")
@@ -41,8 +42,9 @@ def rotation_signals(spark, sf_dir):
 
 
 def _curves(spark, sf_dir):
-    rows = cut(_rows(spark, sf_dir))  # signals and wealth both read it
-    return R.wealth(rows, _targets(rows)[1], K, COSTS)
+    # signals and wealth read the rows, wealth reads the targets twice
+    rows = cut(_rows(spark, sf_dir))
+    return R.wealth(rows, cut(_targets(rows)[1]), K, COSTS)
 
 
 def rotation_curves(spark, sf_dir):

@@ -10,10 +10,11 @@ from .outcomes import SCORE_SQL, momentum_scores
 from .sentiment import rounded
 
 S = ["symbol"]
+DAMPING = 0.025
 
 
 def scored(spark, sf_dir):
-    return momentum_scores(spark, sf_dir).withColumn("close", F.pow("close", 0.025))
+    return momentum_scores(spark, sf_dir).withColumn("close", F.pow("close", DAMPING))
 
 
 DAMPED = SCORE_SQL + """, b as (select symbol, date, pow(close, 0.025) as close, score, floor(floor(score * 10 + 0.5) / 10 + 0.5)::int as shown, i, n from steps)"""
