@@ -37,7 +37,10 @@ def state_after(k: Column, seed: int = SEED) -> Column:
 def blocks(sizes: DataFrame, reps: int, block: Column, seed: int = SEED) -> DataFrame:
     """sizes: keys and n. Adds rep, start and length of each block drawn: as many blocks as fill n rows, the last one cut."""
     rows = sizes.withColumn("block", F.least("n", block)).withColumn("__blocks", F.ceil(F.col("n") / F.col("block")))
-    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    # a row a series becomes many, so repetitions are dealt out first, to a number of tasks that isn't cut down for their small size
+    tasks = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [c for c in sizes.columns if c != "n"]
+    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(tasks, *keys, "rep").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
     draw = state_after(F.col("rep") * F.col("__blocks") + F.col("b") + 1, seed) / F.lit(float(MODULUS))
     return rows.withColumn("start", F.floor(draw * (F.col("n") - F.col("block") + 1))).withColumn("length", F.least("block", F.col("n") - F.col("b") * F.col("block"))).drop("__blocks")
 
