@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moodtide.llm import components, embeddings, lines, mixing, packing, quality, simhash, substrings, tokens, toxicity, urls
+from moodtide.llm import blocks, components, embeddings, lines, mixing, packing, quality, simhash, substrings, tokens, toxicity, urls
 
 P = pytest.importorskip("public_tokenizers")
 WORDS = "the of and to in is on by re an en th heat sand river stone cloud maple tiger lemon".split()
@@ -364,6 +364,16 @@ def test_url_rules(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[1], best[2]), r.u
 
 
+def test_postings_of_a_small_table_are_not_broadcast(spark):
+    """Spark takes exploded rows to be as large as the table they come from."""
+    prints = spark.range(2000).select((F.col("id") * 257).alias("fp"))
+    dealt = blocks.units(simhash.postings(components.materialise(prints), 3, 4), ["key", "list"], F.xxhash64("fp"), 4096)
+    assert "Broadcast" not in dealt._jdf.queryExecution().sparkPlan().toString()
+    counts = dealt.groupBy("key", "list").count().agg(F.min("count"), F.sum("count")).first()
+    posts = simhash.postings(prints, 3, 4).groupBy("key", "list").count().filter("count > 1").agg(F.sum("count")).first()
+    assert counts[0] > 1 and counts[1] == posts[0]
+
+
 def test_url_rules_are_those_of_the_contract(spark):
     wanted = {
         "http://a.com/en/1": ("com/en/", "block"), "http://x.example.com/en/70": ("example.com/en/7", "allow"), "http://a.net/de/1": ("net/de/", "allow"),
