@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, stored
 
 from ..functions.numbers import half_up
 from ..functions.texts import issuer_key
@@ -17,13 +17,14 @@ def matched(before: DataFrame, after: DataFrame, group: list[str], strong: str,
     """Pairs of rows of two snapshots, by a strong key where both have it, then by a weak one; unmatched rows of
     either side stay alone. Each row is in one pair. Columns of before get the suffix _from, of after _to.
     Keys are unique in a snapshot; group names the comparison."""
-    a = before.select(*group, *(F.col(c).alias(f"{c}_from") for c in before.columns if c not in group))
-    b = after.select(*group, *(F.col(c).alias(f"{c}_to") for c in after.columns if c not in group))
-    first = b.withColumn("_k", F.col(f"{strong}_to")).join(a.withColumn("_k", F.col(f"{strong}_from")), [*group, "_k"]).drop("_k")
-    left_b = b.join(first.select(*group, f"{weak}_to"), [*group, f"{weak}_to"], "left_anti")
-    left_a = a.join(first.select(*group, f"{weak}_from"), [*group, f"{weak}_from"], "left_anti")
-    rest = left_b.withColumn("_k", F.col(f"{weak}_to")).join(left_a.withColumn("_k", F.col(f"{weak}_from")), [*group, "_k"], "full").drop("_k")
-    return first.unionByName(rest)
+    a = before.select(*group, *(F.col(c).alias(f"{c}_from") for c in before.columns if c not in group), F.lit(True).alias("_a"))
+    b = after.select(*group, *(F.col(c).alias(f"{c}_to") for c in after.columns if c not in group), F.lit(True).alias("_b"))
+    ka, kb = (x.withColumn("_k", F.col(c)).filter("_k is not null") for x, c in ((a, f"{strong}_from"), (b, f"{strong}_to")))
+    met = stored(kb.join(ka, [*group, "_k"], "full").drop("_k"))  # read three times: pairs, and what is left of either side
+    left_b = met.filter("_a is null").select(*b.columns).unionByName(b.filter(F.col(f"{strong}_to").isNull()))
+    left_a = met.filter("_b is null").select(*a.columns).unionByName(a.filter(F.col(f"{strong}_from").isNull()))
+    rest = left_b.withColumn("_k", F.col(f"{weak}_to")).join(left_a.withColumn("_k", F.col(f"{weak}_from")), [*group, "_k"], "full")
+    return met.filter("_a and _b").drop("_a", "_b").unionByName(rest.drop("_k", "_a", "_b"))
 
 
 def changes(pairs: DataFrame, units_from: Column, units_to: Column) -> DataFrame:

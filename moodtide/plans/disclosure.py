@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..operators import calendars as C, holdings as H, windows as W
+from ..operators.lineage import stored
 from ..sources.bars import REGION_SQL, cents, region_bars, table
 from .sentiment import rounded
 
@@ -14,10 +15,10 @@ from .sentiment import rounded
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """month, ticker, cusip (missing for some), shares, mv, units: what each part's order lines of a month add up to."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.trunc("l_shipdate", "month").alias("month"), "l_quantity", cents(F.col("l_extendedprice")).alias("c"))
-    part = lines.groupBy("month", "l_partkey").agg(F.sum("l_quantity").alias("shares"), (F.sum("c") / 100).alias("mv"))
+    part = stored(lines.groupBy("month", "l_partkey").agg(F.sum("l_quantity").alias("shares"), (F.sum("c") / 100).alias("mv")))
     units = part.groupBy("month").agg((F.count("*") * 10.0).alias("units"))
     odd = F.pmod(F.col("l_partkey") + F.month("month"), F.lit(7)) == 0
-    return part.join(units, "month").select("month", F.concat(F.lit("P"), "l_partkey").alias("ticker"), F.when(~odd, F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("cusip"), "shares", "mv", "units")
+    return part.join(F.broadcast(units), "month").select("month", F.concat(F.lit("P"), "l_partkey").alias("ticker"), F.when(~odd, F.lpad(F.col("l_partkey").cast("string"), 9, "0")).alias("cusip"), "shares", "mv", "units")
 
 
 SNAP_SQL = """part0 as (select date_trunc('month', l_shipdate)::date as month, l_partkey, sum(l_quantity) as shares, sum(round(l_extendedprice * 100)::bigint)::double / 100 as mv from lineitem group by 1, 2),
@@ -27,15 +28,14 @@ snaps as (select p.month, 'P' || l_partkey as ticker, case when (l_partkey + mon
 def holdings_changes(spark, sf_dir):
     """Every month against the one before it."""
     s = snapshots(spark, sf_dir)
-    units = s.groupBy(F.col("month").alias("to_month")).agg(F.first("units").alias("units"))
+    units = s.groupBy(F.col("month").alias("to_month")).agg(F.first("units").alias("units_to"))
+    old = units.select(F.add_months("to_month", 1).alias("to_month"), F.col("units_to").alias("units_from"))
+    both = units.join(old, "to_month")  # a row a month
     columns = ["ticker", "cusip", "shares", "mv"]
-    before = s.select(F.add_months("month", 1).alias("to_month"), *columns)
-    after = s.select(F.col("month").alias("to_month"), *columns)
-    both = before.select("to_month").distinct().intersect(after.select("to_month").distinct())
-    pairs = H.matched(before.join(F.broadcast(both), "to_month"), after.join(F.broadcast(both), "to_month"), ["to_month"], "cusip", "ticker")
-    now = units.select("to_month", F.col("units").alias("units_to"))
-    old = units.select(F.add_months("to_month", 1).alias("to_month"), F.col("units").alias("units_from"))
-    changes = H.changes(pairs.join(now, "to_month").join(old, "to_month"), F.col("units_from"), F.col("units_to"))
+    before = s.select(F.add_months("month", 1).alias("to_month"), *columns).join(F.broadcast(both.select("to_month")), "to_month")
+    after = s.select(F.col("month").alias("to_month"), *columns).join(F.broadcast(both.select("to_month")), "to_month")
+    pairs = H.matched(before, after, ["to_month"], "cusip", "ticker")
+    changes = H.changes(pairs.join(F.broadcast(both), "to_month"), F.col("units_from"), F.col("units_to"))
     return changes.select("to_month", F.coalesce("ticker_to", "ticker_from").alias("ticker"), "kind", "delta", "expected", "value")
 
 

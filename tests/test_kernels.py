@@ -304,3 +304,13 @@ def test_path_with_a_gap(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 1.0), ("b", 1, 1.0), ("b", 3, 2.0), ("c", 5, 1.0), ("d", 1, 0.0), ("d", 2, 1.0)], "k string, index int, wealth double")
     got = {r.k: (r.intervals, r.factor, r.drawdown, r.valid) for r in B.path_summary(df, ["k"], 252).collect()}
     assert got["a"] == (2, 1.0, 0.5, True) and got["b"] == (1, 2.0, 0.0, False) and got["c"][0] == 0 and got["c"][1] is None and got["c"][3] and not got["d"][3]
+
+
+def test_rows_matched_by_the_strong_key_need_no_weak_one(spark):
+    from moodtide.operators import holdings as H
+
+    columns = "g int, cusip string, ticker string, shares double"
+    before = spark.createDataFrame([(1, "a", None, 1.0), (1, "b", "B", 2.0), (1, None, "C", 3.0), (1, None, None, 4.0), (2, "a", "A", 5.0)], columns)
+    after = spark.createDataFrame([(1, "a", None, 6.0), (1, None, "B", 7.0), (1, "c", "C", 8.0), (1, None, None, 9.0)], columns)
+    got = sorted((r.g, r.shares_from or 0, r.shares_to or 0) for r in H.matched(before, after, ["g"], "cusip", "ticker").collect())
+    assert got == [(1, 0, 9.0), (1, 1.0, 6.0), (1, 2.0, 7.0), (1, 3.0, 8.0), (1, 4.0, 0), (2, 5.0, 0)]
