@@ -41,12 +41,13 @@ def holdings_changes(spark, sf_dir):
 
 def trade_entries(spark, sf_dir):
     """Per month how many changes of each kind, and the three largest as text."""
-    c = holdings_changes(spark, sf_dir)
+    c = stored(holdings_changes(spark, sf_dir).select("to_month", "ticker", "kind", "value"))
     place = F.row_number().over(W.Window.partitionBy("to_month").orderBy(F.desc("value"), "ticker"))
-    ranked = c.withColumn("place", place)
-    top = F.sort_array(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", F.concat_ws(" ", "kind", "ticker").alias("t")))))
+    first = c.withColumn("place", place).filter("place <= 3")  # each task hands on three rows a month
+    top = F.sort_array(F.collect_list(F.struct("place", F.concat_ws(" ", "kind", "ticker").alias("t"))))
     kinds = [F.count(F.when(F.col("kind") == k, 1)).alias(k.lower().replace(" ", "_")) for k in ("NEW", "SOLD OUT", "INCREASE", "DECREASE")]
-    return ranked.groupBy("to_month").agg(*kinds, F.array_join(F.transform(top, lambda x: x["t"]), "; ").alias("largest"))
+    largest = first.groupBy("to_month").agg(F.array_join(F.transform(top, lambda x: x["t"]), "; ").alias("largest"))
+    return c.groupBy("to_month").agg(*kinds).join(largest, "to_month")
 
 
 def filing_changes(spark, sf_dir):

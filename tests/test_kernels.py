@@ -314,3 +314,10 @@ def test_rows_matched_by_the_strong_key_need_no_weak_one(spark):
     after = spark.createDataFrame([(1, "a", None, 6.0), (1, None, "B", 7.0), (1, "c", "C", 8.0), (1, None, None, 9.0)], columns)
     got = sorted((r.g, r.shares_from or 0, r.shares_to or 0) for r in H.matched(before, after, ["g"], "cusip", "ticker").collect())
     assert got == [(1, 0, 9.0), (1, 1.0, 6.0), (1, 2.0, 7.0), (1, 3.0, 8.0), (1, 4.0, 0), (2, 5.0, 0)]
+
+
+def test_largest_entries_are_limited_before_they_travel(spark):
+    from moodtide.plans import disclosure
+
+    plan = disclosure.trade_entries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan
