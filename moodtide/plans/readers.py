@@ -101,13 +101,20 @@ def filing_headers(spark, sf_dir):
 
 def fund_holdings(spark, sf_dir):
     """Lines of an order as a fund's report in XML; names of even parts are cut and completed from the title."""
-    k, c = F.col("l_partkey").cast("string"), cents(F.col("l_extendedprice"))
-    title = F.concat(F.lit("PART "), k, F.lit(" ORDINARY"))
-    cusip = F.when(F.col("l_partkey") % 5 != 0, F.lpad(k, 9, "0")).otherwise("N/A")
-    fields = [_tag("name", F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("Part "), k)).otherwise("Other")), _tag("title", title), _tag("cusip", cusip), F.concat(F.lit('<identifiers><isin value="US'), k, F.lit('"/></identifiers>'))]
-    fields += [_tag("balance", F.col("l_quantity").cast("long").cast("string")), _tag("valUSD", c.cast("string")), F.lit("<assetCat>EC</assetCat>")]
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", c.alias("c"), _tag("invstOrSec", F.concat(*fields)).alias("x"))
-    docs = lines.groupBy("l_orderkey").agg(F.max(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("d"), F.sum("c").cast("string").alias("t"), F.array_join(F.collect_list("x"), "").alias("x"))
+    c = cents(F.col("l_extendedprice"))
+
+    def holding(x):
+        k = x["k"].cast("string")
+        title = F.concat(F.lit("PART "), k, F.lit(" ORDINARY"))
+        cusip = F.when(x["k"] % 5 != 0, F.lpad(k, 9, "0")).otherwise("N/A")
+        fields = [_tag("name", F.when(x["k"] % 2 == 0, F.concat(F.lit("Part "), k)).otherwise("Other")), _tag("title", title), _tag("cusip", cusip), F.concat(F.lit('<identifiers><isin value="US'), k, F.lit('"/></identifiers>'))]
+        fields += [_tag("balance", x["q"].cast("string")), _tag("valUSD", x["c"].cast("string")), F.lit("<assetCat>EC</assetCat>")]
+        return _tag("invstOrSec", F.concat(*fields))
+
+    # numbers are brought together by order, and become text only then
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", c.alias("c"), F.struct(F.col("l_partkey").alias("k"), F.col("l_quantity").cast("long").alias("q"), c.alias("c")).alias("x"))
+    docs = lines.groupBy("l_orderkey").agg(F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("d"), F.sum("c").cast("string").alias("t"), F.collect_list("x").alias("x"))
+    docs = docs.withColumn("x", F.array_join(F.transform("x", holding), ""))
     info = F.concat(F.lit("<genInfo><regCik>77</regCik><seriesId>S1</seriesId>"), _tag("repPdDate", F.col("d")), F.lit("</genInfo>"), _tag("fundInfo", _tag("netAssets", F.col("t"))))
     rows = R.fund_reports(docs.select("l_orderkey", _tag("formData", F.concat(info, _tag("invstOrSecs", F.col("x")))).alias("xml")))
     return rows.select("l_orderkey", "cik", "series", "report", "net_assets", "name", "cusip", "isin", "balance", "value", "category")

@@ -67,9 +67,12 @@ def fund_reports(docs: DataFrame, xml: str = "xml") -> DataFrame:
     identifiers, balance and value; names that were cut are replaced by titles that begin with them."""
     kept = [c for c in docs.columns if c != xml]
     doc = docs.select(*kept, F.from_xml(F.col(xml), NPORT, {"attributePrefix": "_"}).alias("d"))
-    rows = doc.select(*kept, texts.cik(F.col("d.genInfo.regCik")).alias("cik"), F.col("d.genInfo.seriesId").alias("series"), texts.sec_date(F.col("d.genInfo.repPdDate")).alias("report"), F.col("d.fundInfo.netAssets").alias("net_assets"), F.explode("d.invstOrSecs.invstOrSec").alias("h"))
+    own = ("cik", "series", "report", "net_assets")
+    # what a report has once is read before its holdings become rows
+    doc = doc.select(*kept, texts.cik(F.col("d.genInfo.regCik")).alias("cik"), F.col("d.genInfo.seriesId").alias("series"), texts.sec_date(F.col("d.genInfo.repPdDate")).alias("report"), F.col("d.fundInfo.netAssets").alias("net_assets"), F.col("d.invstOrSecs.invstOrSec").alias("held"))
+    rows = doc.select(*kept, *own, F.explode("held").alias("h"))
     name = F.when(F.upper("h.title").startswith(F.upper("h.name")), F.col("h.title")).otherwise(F.col("h.name"))
-    return rows.select(*kept, "cik", "series", "report", "net_assets", name.alias("name"), texts.valid_cusip(F.col("h.cusip")).alias("cusip"), F.col("h.identifiers.isin._value").alias("isin"), F.col("h.identifiers.ticker._value").alias("ticker"), F.col("h.balance").alias("balance"), F.col("h.valUSD").alias("value"), F.col("h.pctVal").alias("pct"), F.col("h.assetCat").alias("category"))
+    return rows.select(*kept, *own, name.alias("name"), texts.valid_cusip(F.col("h.cusip")).alias("cusip"), F.col("h.identifiers.isin._value").alias("isin"), F.col("h.identifiers.ticker._value").alias("ticker"), F.col("h.balance").alias("balance"), F.col("h.valUSD").alias("value"), F.col("h.pctVal").alias("pct"), F.col("h.assetCat").alias("category"))
 
 
 def cash_like(category: Column, name: Column, tickers: tuple[str, ...], ticker: Column) -> Column:

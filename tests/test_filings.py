@@ -76,3 +76,12 @@ def test_items_with_their_dates():
     assert item_of('x {"itemKey":"h","value":[1],"creationDate":"01/02/2026"', "h") == ("[1]", "01/02/2026")
     assert item_of('{"itemKey":"h","value":[1],{"itemKey":"z","value":2,"creationDate":"09/09/2026"}', "h") == ("[1]", None)
     assert item_of('"itemKey":"h","value":[1', "h") == item_of("", "h") == (None, None)
+
+
+def test_fund_reports_travel_as_numbers(spark):
+    """What is brought together by order is no XML yet."""
+    from moodtide.plans import readers
+
+    plan = readers.fund_holdings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    partial = [x for x in plan.splitlines() if "partial_collect_list" in x]
+    assert partial and not any("invstOrSec" in x for x in plan[plan.index(partial[0]) :].splitlines())
