@@ -154,3 +154,17 @@ def test_residual_variance_equals_that_of_a_fit(spark):
     design = np.c_[np.ones(len(z)), z[:, :2]] * np.sqrt(w)[:, None]
     beta = np.linalg.lstsq(design, z[:, 2] * np.sqrt(w), rcond=None)[0]
     assert got[0].residual_variance == pytest.approx(float(((z[:, 2] * np.sqrt(w) - design @ beta) ** 2).sum()), rel=1e-9)
+
+
+def test_a_level_of_nested_documents_is_read_alone(spark):
+    docs = spark.createDataFrame([(1, '{"b":[{"c":1}, {}],"a":{"é\\"x":-0.0}}'), (2, "[]"), (3, "null"), (4, "{")], "k long, text string")
+    found = D.nodes(docs, ["k"])
+    plan = found.filter("level = 2")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    kinds = {(r.k, r.path): (r.level, r.kind) for r in found.filter("path is not null").collect()}
+    assert kinds == {
+        (1, "$"): (0, "object"), (1, "$.a"): (1, "object"), (1, "$.b"): (1, "array"), (1, '$.a.é"x'): (2, "value"), (1, "$.b[0]"): (2, "object"), (1, "$.b[1]"): (2, "object"), (1, "$.b[0].c"): (3, "value"),
+        (2, "$"): (0, "array"), (3, "$"): (0, "value"), (4, "$"): (0, None),
+    }
+    texts = {r.k: r.text for r in D.canonical(found, ["k"]).collect()}
+    assert texts[1] == '{"a":{"é\\"x":0},"b":[{"c":1},{}]}' and texts[3] == "null" and texts[4] is None
