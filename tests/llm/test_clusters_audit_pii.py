@@ -180,3 +180,11 @@ def test_surroundings_give_identifiers_away(spark):
     assert by[len(texts) - 1].spans == "" and by[len(texts) - 2].spans == by[len(texts) - 3].spans == ""
     assert {r.spans for r in got if not r.doc_id} == {next(r.spans for r in got if r.doc_id == 0)}
     assert pii.find_personal_data(docs.limit(0)).collect() == []
+
+
+def test_base_spans_are_counted_by_kind(spark):
+    from moodtide.llm import pii
+
+    docs = spark.createDataFrame([(1, "a@b.c d@e.f 1.2.3.4 +46 70 123 45 67"), (2, None), (None, "card 4111 1111 1111 1111")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.find_personal_data(docs).collect()}
+    assert got == {1: (2, 1, 0, 1), 2: (0, 0, 0, 0), None: (0, 0, 1, 0)}
