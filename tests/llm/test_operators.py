@@ -588,6 +588,23 @@ def test_fuzzy_copies_in_boilerplate_are_found(spark):
     assert not alone & set(got)
 
 
+def test_pieces_in_later_documents_do_not_hide_a_fuzzy_copy(spark):
+    """Every run between two edits is covered by pieces of 25 and 19 words, each in three documents between the two copies."""
+    rng = np.random.default_rng(36)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    rows, wanted = [], {}
+    for _ in range(12):
+        passage = fresh(270)
+        fuzzy = [w for k, w in enumerate(passage) if k % 45 != 44]  # five shingles of 45 go
+        pieces = [p for a in range(0, 270, 45) for p in (passage[a : a + 25], passage[a + 25 : a + 44])]
+        rows += [fresh(20) + passage + fresh(20), *(fresh(30) + p + fresh(30) for p in pieces for _ in range(3))]
+        wanted[len(rows)] = set(range(30, 30 + len(fuzzy)))
+        rows.append(fresh(30) + fuzzy + fresh(30))
+    got = spans_of(substrings.repeated_passages(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")).collect())
+    lost = {i: len(v - got.get(i, set())) for i, v in wanted.items() if len(v & got.get(i, set())) < 0.8 * len(v)}
+    assert not lost and set(got) == set(wanted)
+
+
 def test_passages_with_null_and_repeated_ids(spark):
     rng = np.random.default_rng(34)
     fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
